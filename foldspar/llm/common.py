@@ -44,3 +44,15 @@ def words(text: Column) -> Column:
     """Array of the words; empty for a text without one."""
     trimmed = F.btrim(text, F.lit(SPACE))
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, r"[\x20\x09-\x0D]+"))
+
+
+def in_batches(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow(run, schema) with batches few enough rows long that very long texts stay within a worker's memory."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(key)) <= 512:
+        df.sparkSession.conf.set(key, "512")
+    return df.mapInArrow(run, schema)
+
+
+def id_type(df: DataFrame, column: str = "doc_id") -> str:
+    return df.schema[column].dataType.simpleString()
