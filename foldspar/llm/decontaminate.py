@@ -98,13 +98,19 @@ class Index:
         doc, item = np.repeat(doc, n), self.item[posting].astype(np.int64)
         # a diagonal below zero is one of a text that lacks the item's beginning; shifted by the item's length it is none
         longest = int(self.least.max() + Q * self.budget.max() + Q)
-        band = (local - self.place[posting] + longest) // self.stride[item] + 1
+        shifted = (local - self.place[posting]).astype(np.int64)
+        band = (shifted + longest) // self.stride[item] + 1
         width = int(band.max()) + 2
         key = (doc * len(self.items) + item) * width + band
-        for k, c in _counted(np.concatenate([key, key - 1])):
-            pair, band_no = divmod(int(k), width)
+        keys = np.concatenate([key, key - 1])
+        order = np.argsort(keys, kind="stable")
+        values, first, count = np.unique(keys[order], return_index=True, return_counts=True)
+        for j in np.flatnonzero(count >= self.least[values // width % len(self.items)]):
+            hits = order[first[j] : first[j] + count[j]] % len(key)
+            pair, band_no = divmod(int(values[j]), width)
             d, i = divmod(pair, len(self.items))
-            if c >= self.least[i]:
+            places, diagonals = self.place[posting[hits]], shifted[hits]
+            if _spread(places, diagonals, int(self.stride[i])) >= self.least[i]:
                 yield d, i, (band_no - 1) * int(self.stride[i]) - longest
 
     def matches(self, texts: list[str]) -> list[tuple[int, object, int, int, int, int]]:
@@ -118,7 +124,7 @@ class Index:
             if (exact := region.find(item)) >= 0:
                 distance, end, start = 0, exact + len(item), exact
             else:
-                distance, end = align(item, region, low - a - k, low - a + 2 * stride + k)
+                distance, end = align(item, region, low - a - k, low - a + 2 * stride + k, k)
                 if distance > k:
                     continue
                 back = align(item[::-1], region[:end][::-1], -k - 1, k + 1)
@@ -135,17 +141,20 @@ class Index:
         return [x[:6] for x in out]
 
 
-def _counted(keys: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Keys that occur at least 8 times, the least threshold of any item, with their counts."""
-    values, counts = np.unique(keys, return_counts=True)
-    some = counts >= 8
-    return zip(values[some], counts[some], strict=True)
+def _spread(places: np.ndarray, diagonals: np.ndarray, width: int) -> int:
+    """The most places of the item that are hit on width neighbouring diagonals."""
+    best = 0
+    for start in np.unique(diagonals):
+        inside = (diagonals >= start) & (diagonals < start + width)
+        if inside.sum() > best:
+            best = max(best, len(np.unique(places[inside])))
+    return best
 
 
-def align(item: str, region: str, low: int, high: int) -> tuple[int, int]:
+def align(item: str, region: str, low: int, high: int, most: int | None = None) -> tuple[int, int]:
     """Least edit distance of item to a piece of region whose alignment keeps to the diagonals low..high, and its end.
 
-    Of equally near pieces the one that ends nearest to its diagonal's start wins (the first).
+    Of equally near pieces the first wins. Once no piece can be within most, the distance is only known to be larger.
     """
     x = np.frombuffer(item.encode("utf-32-le", "surrogatepass"), np.uint32)
     y = np.frombuffer(region.encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -153,7 +162,8 @@ def align(item: str, region: str, low: int, high: int) -> tuple[int, int]:
     t = np.arange(width)
     far = m + n + 1
     column = t + low  # of the text, before row 0
-    row = np.where((column >= 0) & (column <= n), 0, far)
+    row = np.where((column >= 0) & (column <= n), 0, far).astype(np.int32)
+    t32, low_far = t.astype(np.int32), np.int32(far)
     padded = np.full(n + 2 * (m + width) + abs(low) + abs(high) + 2, 0xFFFFFFFF, np.uint32)
     shift = m + width + abs(low)
     padded[shift : shift + n] = y
@@ -161,10 +171,12 @@ def align(item: str, region: str, low: int, high: int) -> tuple[int, int]:
         character = padded[shift + low + i : shift + low + i + width]
         step = row + (character != x[i])
         step[:-1] = np.minimum(step[:-1], row[1:] + 1)
-        column = t + low + i + 1
-        step = np.where((column >= 0) & (column <= n), step, far)
-        row = np.minimum.accumulate(step - t) + t
-        row = np.where((column >= 0) & (column <= n), row, far)
+        first, last = max(0, -low - i - 1), max(0, min(width, n - low - i))  # the diagonals whose column lies in the text
+        step[:first], step[last:] = low_far, low_far
+        row = np.minimum.accumulate(step - t32) + t32
+        row[last:] = low_far
+        if most is not None and i % 8 == 7 and row.min() > most:
+            return int(row.min()), 0
     best = int(row.argmin())
     return int(row[best]), best + low + m
 
