@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foldspar.llm import chat, decontaminate, licenses, mixing, quality_model, quality_rules, secrets, url_rules
+from foldspar.llm import chat, decontaminate, licenses, mixing, quality_model, quality_rules, secrets, simhash, url_rules
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -45,6 +45,10 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.documents_judged(_read(spark, sf_dir, "documents"))
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.grouped(_read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_secret_scan": op2_secret_scan,
@@ -54,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_license_scan": op7_license_scan,
     "op8_url_filter": op8_url_filter,
     "op9_quality_rules": op9_quality_rules,
+    "op10_simhash": op10_simhash,
 }
 
 ORACLES: dict[str, str] = {
