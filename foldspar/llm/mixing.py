@@ -53,9 +53,9 @@ def draw(doc_id: str, seed: str = SEED) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / F.lit(float(2**52))
 
 
-def copies(doc_id: str, seed: str = SEED) -> Column:
-    """How often a document with columns source_size and target beside it is emitted."""
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+def copies(doc_id: str, target: str = "target", source_size: str = "source_size", seed: str = SEED) -> Column:
+    """How often a document is emitted, with its source's target and words in the columns so named."""
+    rate = F.when(F.col(source_size) > 0, F.col(target) / F.col(source_size)).otherwise(0.0)
     return (F.floor(rate) + (draw(doc_id, seed) < rate - F.floor(rate)).cast("long")).cast("long")
 
 
@@ -68,10 +68,14 @@ def mixed(docs: DataFrame, **rules) -> DataFrame:
 
 
 def emit(docs: DataFrame, **rules) -> DataFrame:
-    """docs with each row as often as the mix takes it, numbered from 1 in mix_copy."""
-    t = materialise(targets(docs.select("source", n_words().alias("size")), "source", "size", **rules), "mixing-targets")
-    rows = docs.join(t, docs["source"].eqNullSafe(t["mix_source"])).withColumn("__mix_n", copies("doc_id")).where("__mix_n > 0")
-    return rows.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1).cast("long"), "__mix_n")).alias("mix_copy"))
+    """docs with each row as often as the mix takes it, numbered from 1 in mix_copy (underscores added if docs has that name)."""
+    t = targets(docs.select("source", n_words().alias("__mix_size")), "source", "__mix_size", **rules)
+    t = materialise(t.toDF("__mix_source", "__mix_words", "__mix_target"), "mixing-targets")
+    rows = docs.join(t, F.col("source").eqNullSafe(F.col("__mix_source"))).withColumn("__mix_n", copies("doc_id", "__mix_target", "__mix_words")).where("__mix_n > 0")
+    name = "mix_copy"
+    while name in docs.columns:
+        name += "_"
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1).cast("long"), "__mix_n")).alias(name))
 
 
 ORACLE = r"""

@@ -178,8 +178,9 @@ def judge(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "
     narrow = rows.select(F.col(lang).alias("lang"), F.col(source).alias("source"), *[F.col(f"{p}x{i}").alias(f"x{i}") for i in range(D)], F.lit(1).alias("all")).where(F.col(f"{p}n_words") >= min_words)
     groups = estimates(narrow, ["lang", "source"]).where(F.col("n") >= min_group)
     whole = estimates(narrow, ["all"]).select(F.col("e").alias(f"{p}w"))
-    groups = groups.select("g_lang", "g_source", F.col("e").alias(f"{p}e"))
-    rows = rows.join(groups, rows[lang].eqNullSafe(groups["g_lang"]) & rows[source].eqNullSafe(groups["g_source"]), "left").drop("g_lang", "g_source")
+    groups = groups.select(F.col("g_lang").alias(f"{p}g_lang"), F.col("g_source").alias(f"{p}g_source"), F.col("e").alias(f"{p}e"))
+    same = F.col(lang).eqNullSafe(F.col(f"{p}g_lang")) & F.col(source).eqNullSafe(F.col(f"{p}g_source"))
+    rows = rows.join(groups, same, "left").drop(f"{p}g_lang", f"{p}g_source")
     rows = rows.join(F.broadcast(whole), F.lit(True), "left")  # one row
     rows = rows.withColumn(f"{p}e", F.coalesce(f"{p}e", f"{p}w"))
     failed = (F.col(f"{p}n_words") < min_words) | (100 * F.col(f"{p}n_repeat_words") > max_repeat_percent * F.col(f"{p}n_words"))
