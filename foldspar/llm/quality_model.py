@@ -117,7 +117,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 6000) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array([train(every).tobytes()], pa.binary())], names=["weights"])
 
     one = rows.repartition(1).sortWithinPartitions("h", "l_id", "text", "label")
-    return np.frombuffer(in_batches(one, run, "weights binary").first()[0])
+    made = in_batches(one, run, "weights binary").first()
+    return np.frombuffer(made[0]) if made else np.zeros(WIDTH + 1)
 
 
 def scored(docs: DataFrame, labels: DataFrame, cut: float = 0.7, **fitting) -> DataFrame:

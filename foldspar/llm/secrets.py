@@ -61,7 +61,7 @@ def entropy_spans(text: str) -> list[tuple[int, int, str]]:
         run = m.group()
         if run.isalpha() or not any(c.isdigit() for c in run) or any(a.search(run) for a in ALLOW):
             continue
-        before = text[text.rfind(" ", max(0, m.start() - 200), m.start()) + 1 : m.start()] if m.start() else ""
+        before = re.split(r"\s", text[max(0, m.start() - 200) : m.start()])[-1] + run[:2]  # slashes are part of the run
         if any(a in before for a in ALLOW_BEFORE):
             continue
         for _, pattern, least in CLASSES:
