@@ -1,4 +1,4 @@
-"""Unbounded FIFO semantics in closed form; bounded queues and channels are in the module folds.
+"""Unbounded FIFO semantics in closed form; bounded queues and channels are in the module bounded.
 
 With +1 for a push and -1 for a pop, S their running sum and M the least of 0 and all S so far, S - M is the depth after
 the row, a pop succeeds exactly if M does not fall, and the k-th successful pop takes the k-th push.

@@ -1,13 +1,12 @@
 """Operators whose outcomes depend on the evolving state of a container: one ordered fold for each instance.
 
 An instance's log is sorted and folded by Python code in one group; instances run in parallel. What has a closed form is
-in the other modules, and insert-only forms of these operators are here as window expressions.
+in the other modules (bounded queues and channels in the module bounded), and insert-only forms of these operators are here as window expressions.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections import deque
 from collections.abc import Callable
 
 import pandas as pd
@@ -32,72 +31,6 @@ def _fold(log: DataFrame, columns: list[str], schema: str, make: Callable[[], Ca
     return log.select("inst", "seq", "op", *columns).groupBy("inst").applyInPandas(run, schema)
 
 
-def bounded_queue(log: DataFrame, capacity: int) -> DataFrame:
-    """Ops push and pop (others do nothing): status ok, full or empty, the value pushed back or popped, and the length."""
-    cap = rounded_capacity(capacity)
-
-    def make():
-        queue: deque = deque()
-
-        def step(row):
-            status, value = "ok", None
-            if row.op == "push":
-                if len(queue) == cap:
-                    status, value = "full", row.value
-                else:
-                    queue.append(row.value)
-            elif row.op == "pop":
-                status, value = ("ok", queue.popleft()) if queue else ("empty", None)
-            return status, value, len(queue)
-
-        return step
-
-    return _fold(log, ["value"], _OUT, make)
-
-
-def bounded_depth(log: DataFrame, capacity: int) -> DataFrame:
-    """inst and the length that a bounded queue ends with: a scalar fold in native expressions."""
-    cap = rounded_capacity(capacity)
-    step = F.when(F.col("op") == "push", 1).when(F.col("op") == "pop", -1).otherwise(0)
-    sorted_ = log.groupBy("inst").agg(F.sort_array(F.collect_list(F.struct("seq", step.alias("d")))).alias("s"))
-    return sorted_.select("inst", F.aggregate("s", F.lit(0), lambda a, x: F.greatest(F.lit(0), F.least(F.lit(cap), a + x["d"]))).cast("long").alias("len"))
-
-
-def channel(log: DataFrame, capacity: int) -> DataFrame:
-    """Ops try_send, try_recv, drop_sender and drop_receiver.
-
-    A send to a dropped receiver is disconnected, even if the channel is full; a receive takes what is buffered before it
-    sees that the sender is gone. A rejected value comes back with its status.
-    """
-    cap = rounded_capacity(capacity)
-
-    def make():
-        queue: deque = deque()
-        gone = {"drop_sender": False, "drop_receiver": False}
-
-        def step(row):
-            status, value = "ok", None
-            if row.op == "try_send":
-                if gone["drop_receiver"]:
-                    status, value = "disconnected", row.value
-                elif len(queue) == cap:
-                    status, value = "full", row.value
-                else:
-                    queue.append(row.value)
-            elif row.op == "try_recv":
-                if queue:
-                    value = queue.popleft()
-                else:
-                    status = "disconnected" if gone["drop_sender"] else "empty"
-            elif row.op in gone:
-                gone[row.op] = True
-            return status, value, len(queue)
-
-        return step
-
-    return _fold(log, ["value"], _OUT, make)
-
-
 def heap(log: DataFrame, capacity: int | None = None) -> DataFrame:
     """Ops push, pop, peek, remove (of key) and clear on a min-heap ordered by value, then key; key names the element.
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foldspar.functions import bits, keys
-from foldspar.operators import fifo, folds, keyed, latest, ordered
+from foldspar.operators import bounded, fifo, folds, keyed, latest, ordered
 from foldspar.sources.tables import op_log, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -243,7 +243,7 @@ n AS (SELECT *, row_number() OVER (PARTITION BY inst, op, status ORDER BY seq) A
 SELECT a.inst, a.seq, a.op, a.status, CASE WHEN a.status = 'full' THEN a.seq WHEN a.op = 'pop' AND a.status = 'ok' THEN b.seq END AS value, a.len
 FROM n a LEFT JOIN n b ON a.op = 'pop' AND a.status = 'ok' AND b.op = 'push' AND b.status = 'ok' AND a.inst = b.inst AND a.n = b.n""")
 def queue_bounded(spark, d):
-    return folds.bounded_queue(_queue_log(spark, d), 3)
+    return bounded.queue(_queue_log(spark, d), 3)
 
 
 @query(_STEPPED.format(where="") + """f AS (
@@ -251,7 +251,7 @@ def queue_bounded(spark, d):
   UNION ALL SELECT l.inst, l.rn, greatest(0, least(4, f.len + CASE WHEN l.t IN ('purchase', 'error') THEN -1 ELSE 1 END)) FROM f JOIN l ON l.inst = f.inst AND l.rn = f.rn + 1)
 SELECT inst, arg_max(len, rn) AS len FROM f GROUP BY inst""")
 def queue_final_depth(spark, d):
-    return folds.bounded_depth(_queue_log(spark, d), 4)
+    return bounded.final_length(_queue_log(spark, d), 4)
 
 
 def _channel_log(spark, d):
@@ -275,12 +275,12 @@ FROM g JOIN f ON g.inst = f.inst AND g.rn = f.rn"""
 
 @query(_CHANNEL)
 def channel_outcomes(spark, d):
-    return folds.channel(_channel_log(spark, d), 4)
+    return bounded.channel(_channel_log(spark, d), 4)
 
 
 @query(f"SELECT status, count(*) AS n, count(value) AS values FROM ({_CHANNEL.replace('WITH RECURSIVE', 'WITH RECURSIVE')}) WHERE op = 'try_recv' GROUP BY 1")
 def channel_drain_after_close(spark, d):
-    return folds.channel(_channel_log(spark, d), 4).where("op = 'try_recv'").groupBy("status").agg(F.count(lit(1)).alias("n"), F.count("value").alias("values"))
+    return bounded.channel(_channel_log(spark, d), 4).where("op = 'try_recv'").groupBy("status").agg(F.count(lit(1)).alias("n"), F.count("value").alias("values"))
 
 
 # -- heaps

@@ -81,5 +81,5 @@ def slot_reads(log: DataFrame) -> DataFrame:
 
 
 def queue_outcomes(log: DataFrame, capacity: int) -> DataFrame:
-    """The outcome of each row in a streaming log, as folds.bounded_queue gives it for a whole one."""
+    """The outcome of each row in a streaming log, as bounded.queue gives it for a whole one."""
     return log.groupBy("inst").transformWithStateInPandas(Queue(capacity), "inst long, seq long, op string, status string, value long, len long", "Append", "None")

@@ -6,7 +6,7 @@ from collections import deque
 import pytest
 from pyspark.sql import functions as F
 
-from foldspar.operators import fifo, folds, keyed, latest, ordered
+from foldspar.operators import bounded, fifo, folds, keyed, latest, ordered
 from foldspar.operators.running import running
 from foldspar.streaming import stateful
 
@@ -86,18 +86,49 @@ def test_queue_pairs_against_a_model(spark, seed):
 
 
 def test_bounded_queue_golden(spark):
-    got = outcomes(folds.bounded_queue(log_of(spark, *[("push", k) for k in range(1, 6)], *[("pop",)] * 5), 4), "status", "value")
+    got = outcomes(bounded.queue(log_of(spark, *[("push", k) for k in range(1, 6)], *[("pop",)] * 5), 4), "status", "value")
     assert got == [("ok", None)] * 4 + [("full", 5)] + [("ok", k) for k in range(1, 5)] + [("empty", None)]
-    assert folds.bounded_depth(log_of(spark, *[("push", 1)] * 9, ("pop",)), 4).first().len == 3
+    assert bounded.final_length(log_of(spark, *[("push", 1)] * 9, ("pop",)), 4).first().len == 3
 
 
 def test_channel_golden(spark):
-    got = outcomes(folds.channel(log_of(spark, ("try_send", 1), ("try_send", 2), ("try_send", 3), *[("try_recv",)] * 3), 2), "status", "value")
+    got = outcomes(bounded.channel(log_of(spark, ("try_send", 1), ("try_send", 2), ("try_send", 3), *[("try_recv",)] * 3), 2), "status", "value")
     assert got == [("ok", None), ("ok", None), ("full", 3), ("ok", 1), ("ok", 2), ("empty", None)]
-    got = outcomes(folds.channel(log_of(spark, ("try_send", 1), ("try_send", 2), ("drop_sender",), *[("try_recv",)] * 3, ("drop_receiver",), ("try_send", 9)), 2), "status", "value")
+    got = outcomes(bounded.channel(log_of(spark, ("try_send", 1), ("try_send", 2), ("drop_sender",), *[("try_recv",)] * 3, ("drop_receiver",), ("try_send", 9)), 2), "status", "value")
     assert got == [("ok", None)] * 3 + [("ok", 1), ("ok", 2), ("disconnected", None), ("ok", None), ("disconnected", 9)]
 
 
+@pytest.mark.parametrize(("seed", "block"), [(0, 4), (1, 16), (2, 4096)])
+def test_bounded_queue_and_channel_against_models(spark, seed, block):
+    rows = random_log(["try_send", "try_send", "try_recv", "drop_sender" if seed else "try_recv"], seed, 500, 3)
+    rows += [(i, 450, "drop_receiver", 0, 0) for i in range(3)]
+    rows = list({(r[0], r[1]): r for r in rows}.values())
+    want, state = [], {}
+    for i, q, op, _, v in by_inst(rows):
+        d, gone = state.setdefault(i, (deque(), set()))
+        status, value = "ok", None
+        if op == "try_send":
+            if "drop_receiver" in gone:
+                status, value = "disconnected", v
+            elif len(d) == 8:
+                status, value = "full", v
+            else:
+                d.append(v)
+        elif op == "try_recv":
+            status, value = ("ok", d.popleft()) if d else ("disconnected" if "drop_sender" in gone else "empty", None)
+        else:
+            gone.add(op)
+        want.append((i, q, op, status, value, len(d)))
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert outcomes(bounded.channel(df, 7, block), "inst", "seq", "op", "status", "value", "len") == want
+    ends = {i: x[-1] for i in range(3) for x in want if x[0] == i}
+    if not seed:
+        plain = df.where("op <> 'drop_receiver'").withColumn("op", F.when(F.col("op") == "try_send", "push").otherwise("pop"))
+        got = {r.inst: r.len for r in bounded.final_length(plain, 7, block).collect()}
+        last = {r.inst: r.len for r in bounded.queue(plain, 7, block).groupBy("inst").agg(F.max_by("len", "seq").alias("len")).collect()}
+        assert got == last and ends
+
+
 @pytest.mark.parametrize("seed", range(2))
 def test_heap_against_a_model(spark, seed):
     rows = random_log(["push", "push", "pop", "peek", "remove", "clear"], seed)
@@ -246,4 +277,4 @@ def test_streams_equal_batches(spark, tmp_path):
     assert got == outcomes(latest.slot_log(batch).where("op = 'read'"), "inst", "seq", "fresh", "delivered")
     as_queue = lambda df: df.withColumn("op", F.when(F.col("op") == "write", "push").otherwise("pop"))
     got = outcomes(drained(stateful.queue_outcomes(as_queue(read()), 3), "queues"), "inst", "seq", "status", "value", "len")
-    assert got == outcomes(folds.bounded_queue(as_queue(batch), 3), "inst", "seq", "status", "value", "len")
+    assert got == outcomes(bounded.queue(as_queue(batch), 3), "inst", "seq", "status", "value", "len")
