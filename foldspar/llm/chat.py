@@ -61,7 +61,7 @@ def prefixes(conversations: DataFrame) -> DataFrame:
 def maximal(conversations: DataFrame) -> DataFrame:
     """conv_id and n_turns of the conversations that stay, and n_equal, how many were equal to it, itself included."""
     p = materialise(prefixes(conversations), "chat-prefixes")
-    length = p.groupBy(F.col("conv_id").alias("l_conv")).agg(F.max("n").alias("length"))
+    length = materialise(p.groupBy(F.col("conv_id").alias("l_conv")).agg(F.max("n").alias("length")), "chat-length")
     p = materialise(p.join(length, p["conv_id"].eqNullSafe(length["l_conv"])).drop("l_conv"), "chat-lengths")
     whole = p.where("n = length").groupBy("n", "a", "b").agg(F.min("conv_id").alias("conv_id"), F.count(F.lit(1)).alias("n_equal"))
     proper = p.where("n < length").groupBy("n", "a", "b").agg(F.count(F.lit(1)).alias("k"))
@@ -77,7 +77,7 @@ def _clean(text: Column) -> Column:
 
 def render(conversations: DataFrame) -> DataFrame:
     """conv_id, part, n_turns, n_equal and rendered: the maximal conversations in parts of BLOCK turn numbers each."""
-    keep = maximal(conversations).withColumnRenamed("conv_id", "k_conv")
+    keep = materialise(maximal(conversations).withColumnRenamed("conv_id", "k_conv"), "chat-kept")
     rows = _turns(conversations)
     rows = rows.join(keep, rows["conv_id"].eqNullSafe(keep["k_conv"]))
     turn = F.struct("turn", "role", "text")
