@@ -73,10 +73,11 @@ def heap(log: DataFrame, capacity: int | None = None) -> DataFrame:
 
 
 def slab(log: DataFrame, slots_per_slab: int, slabs: int | None = None) -> DataFrame:
-    """Ops insert and remove (key is the seq of the insert to undo) on a slab store; slabs bounds it.
+    """Ops insert, remove (key is the seq of the insert to undo), vacant and clear on a slab store; slabs bounds it.
 
     The newest freed slot of the slab at the front of the free list goes first, then that slab's next unused slot; a full
-    slab leaves the list and comes back to its front when a slot is freed. value is the slot's key, (slab << 32) | slot.
+    slab leaves the list and comes back to its front when a slot is freed. value is the slot's key, (slab << 32) | slot;
+    vacant tells the one that the next insert takes. A cleared store keeps its slabs, all unused, the first one in front.
     """
     if slots_per_slab <= 0 or slabs == 0:
         raise ValueError("capacity must be positive")
@@ -88,6 +89,15 @@ def slab(log: DataFrame, slots_per_slab: int, slabs: int | None = None) -> DataF
         held: dict = {}
 
         def step(row):
+            if row.op == "vacant":
+                if front:
+                    s = front[-1]
+                    return "ok", s << 32 | (freed[s][-1] if freed[s] else bump[s]), len(held)
+                return ("ok", len(freed) << 32, len(held)) if slabs is None else ("full", None, len(held))
+            if row.op == "clear":
+                held.clear()
+                freed[:], bump[:], front[:] = [[] for _ in freed], [0] * len(bump), range(len(freed))[::-1]
+                return "ok", None, 0
             if row.op == "insert":
                 if not front:
                     if slabs is not None:
@@ -119,6 +129,12 @@ def slab(log: DataFrame, slots_per_slab: int, slabs: int | None = None) -> DataF
     return _fold(log, ["key"], _OUT, make)
 
 
+def slab_statistics(outcomes: DataFrame, slots_per_slab: int) -> DataFrame:
+    """inst, len, slab_count and capacity of the stores that slab() went through."""
+    by = outcomes.groupBy("inst").agg(F.max_by("len", "seq").alias("len"), (F.coalesce(F.max(F.when(F.col("op") == "insert", F.shiftrightunsigned("value", 32))), F.lit(-1)) + 1).alias("slab_count"))
+    return by.withColumn("capacity", F.col("slab_count") * slots_per_slab)
+
+
 def boxed(log: DataFrame, capacity: int) -> DataFrame:
     """Ops insert, remove (of key) and clear on a boxed store: keys count down from its capacity, the last one freed first."""
     cap = rounded_capacity(capacity)

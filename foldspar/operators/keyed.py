@@ -50,6 +50,11 @@ def or_insert(store: DataFrame, news: DataFrame, key: str, value: str) -> DataFr
     return rows.select(key, F.coalesce("__a", "__b")[value].alias(value), F.col("__a").isNull().alias("inserted"))
 
 
+def or_default(store: DataFrame, keys: DataFrame, key: str, value: str, default: Column) -> DataFrame:
+    """Like or_insert, with the same default for every new key."""
+    return or_insert(store, keys.select(key).distinct().withColumn(value, default.cast(store.schema[value].dataType)), key, value)
+
+
 def modify(store: DataFrame, keys: DataFrame, key: str, value: str, change: Callable[[Column], Column]) -> DataFrame:
     """The store with change(value) where keys has the key."""
     return contains(store=keys.select(key).distinct(), probes=store, key=key, name="__hit2").withColumn(value, F.when(F.col("__hit2"), change(F.col(value))).otherwise(F.col(value))).drop("__hit2")

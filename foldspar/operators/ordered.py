@@ -6,7 +6,7 @@ instance; first, last and top-k are aggregations, combined where the rows lie, s
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -40,6 +40,12 @@ def lowest(df: DataFrame, inst: Sequence[str], order: Sequence[str], k: int, bac
     return placed(df, inst, order, "place", backward).where(F.col("place") <= k)
 
 
+def change_end(df: DataFrame, inst: Sequence[str], order: Sequence[str], value: str, change: Callable[[Column], Column], backward: bool = False) -> DataFrame:
+    """df with change(value) in the first (last, backward) row of each instance."""
+    rows = placed(df, inst, order, "__p", backward)
+    return rows.withColumn(value, F.when(F.col("__p") == 1, change(F.col(value))).otherwise(F.col(value))).drop("__p")
+
+
 def popped(df: DataFrame, inst: Sequence[str], order: Sequence[str], k: int, backward: bool = False) -> DataFrame:
     """What k pops leave of each instance."""
     return placed(df, inst, order, "__p", backward).where(F.col("__p") > k).drop("__p")

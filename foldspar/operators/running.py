@@ -34,3 +34,9 @@ def running(log: DataFrame, inst: str, seq: str, block: int = BLOCK, exclusive:
     joined = own.join(blocks, own[inst].eqNullSafe(blocks["__i"]) & own["__blk"].eqNullSafe(blocks["__b"]))
     out = {k: _BOTH[kind][1](F.col(f"__pre_{k}"), F.col(f"__own_{k}")) for k, (kind, _) in values.items()}
     return joined.withColumns(out).select(*log.columns, *values)
+
+
+def happened(log: DataFrame, inst: str, seq: str, block: int = BLOCK, **ops: str) -> DataFrame:
+    """log with a boolean column for each of ops: whether a row with that op (a dropped side, say) is there up to the row."""
+    rows = running(log, inst, seq, block, (), **{f"__h_{k}": ("min", F.when(F.col("op") == name, F.col(seq))) for k, name in ops.items()})
+    return rows.select(*log.columns, *[F.col(f"__h_{k}").isNotNull().alias(k) for k in ops])

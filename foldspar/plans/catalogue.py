@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from foldspar.functions import bits, keys
 from foldspar.operators import bounded, fifo, folds, keyed, latest, ordered
+from foldspar.operators.running import happened
 from foldspar.sources.tables import op_log, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -231,6 +232,13 @@ def queue_ring_coords(spark, d):
     return fifo.depth(_queue_log(spark, d)).where("op = 'push'").select("inst", "seq", slot.alias("slot"), lap.alias("lap"))
 
 
+@query("""SELECT user_id AS inst, event_id AS seq, coalesce(bool_or(event_type = 'signup') OVER w, false) AS producer_gone, coalesce(bool_or(event_type = 'error') OVER w, false) AS consumer_gone FROM events
+WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING)""")
+def queue_disconnected(spark, d):
+    log = op_log(table(spark, d, "events"), c("user_id"), c("event_id"), {"click": "push", "view": "pop", "purchase": "pop", "signup": "drop_producer", "error": "drop_consumer"}, c("event_type"))
+    return happened(log, "inst", "seq", producer_gone="drop_producer", consumer_gone="drop_consumer").select("inst", "seq", "producer_gone", "consumer_gone")
+
+
 _STEPPED = """WITH RECURSIVE l AS (SELECT user_id AS inst, event_id AS seq, event_type AS t, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events{where}), """
 
 
@@ -425,6 +433,12 @@ def list_fifo_fill(spark, d):
     return ordered.fill(rows, "l_partkey", "s", "l_quantity", lit(120).cast("long"))
 
 
+@query("SELECT user_id, event_id, CASE WHEN event_id = max(event_id) OVER (PARTITION BY user_id) THEN value * 2 ELSE value END AS value FROM events")
+def list_back_mut(spark, d):
+    rows = table(spark, d, "events").select("user_id", "event_id", "value")
+    return ordered.change_end(rows, ["user_id"], ["event_id"], "value", lambda v: v * 2, backward=True)
+
+
 @query()
 def list_positional(spark, d):
     """Inserts after and before, moves and unlinks in order: a fold, tested against a plain list."""
@@ -479,6 +493,11 @@ def map_or_insert(spark, d):
     return keyed.or_insert(table(spark, d, "customer").where("c_custkey % 2 = 0"), news, "c_custkey", "c_acctbal")
 
 
+@query("SELECT k AS c_custkey, coalesce(c_acctbal, 0) AS c_acctbal, c_custkey IS NULL AS inserted FROM (SELECT c_custkey AS k FROM customer WHERE c_nationkey > 9 UNION SELECT o_custkey FROM orders) LEFT JOIN (SELECT * FROM customer WHERE c_nationkey > 9) ON k = c_custkey")
+def map_or_default(spark, d):
+    return keyed.or_default(table(spark, d, "customer").where("c_nationkey > 9"), _orders(spark, d).select(c("o_custkey").alias("c_custkey")), "c_custkey", "c_acctbal", lit(0))
+
+
 @query("SELECT c_custkey, CASE WHEN c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F') THEN c_acctbal * 2 ELSE c_acctbal END AS c_acctbal FROM customer")
 def map_and_modify(spark, d):
     hit = _orders(spark, d).where("o_orderstatus = 'F'").select(c("o_custkey").alias("c_custkey"))
@@ -551,6 +570,14 @@ def slab_lifo_alloc(spark, d):
     return folds.slab(_slab_log(spark, d), 4)
 
 
+@query("""WITH RECURSIVE l AS (SELECT user_id AS inst, event_id AS seq, event_type IN ('purchase', 'error') AS out, lag(event_id) OVER w AS prev, lag(event_type) OVER w AS pt, row_number() OVER w AS rn FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+d AS (SELECT *, CASE WHEN NOT out THEN 1 WHEN prev IS NOT NULL AND pt NOT IN ('purchase', 'error') THEN -1 ELSE 0 END AS d FROM l),
+s AS (SELECT inst, rn, sum(d) OVER (PARTITION BY inst ORDER BY rn) AS n FROM d)
+SELECT inst, CAST(arg_max(n, rn) AS BIGINT) AS len, CAST(ceil(max(n) / 4) AS BIGINT) AS slab_count, CAST(ceil(max(n) / 4) * 4 AS BIGINT) AS capacity FROM s GROUP BY inst""")
+def slab_statistics(spark, d):
+    return folds.slab_statistics(folds.slab(_slab_log(spark, d), 4), 4)
+
+
 @query()
 def boxed_lifo_alloc(spark, d):
     """Inserts and removes on a boxed store: a fold, tested against a plain model."""

@@ -167,6 +167,14 @@ def test_slab_golden(spark):
     assert got == [("ok", 0), ("ok", 1), ("ok", 1 << 32), ("ok", (1 << 32) + 1), ("full", None), ("ok", 0), ("ok", 0), ("full", None)]
 
 
+def test_slab_vacant_and_clear(spark):
+    insert, vacant = ("insert",), ("vacant",)
+    got = outcomes(folds.slab(log_of(spark, vacant, insert, vacant, insert, vacant, ("remove", 1, None), vacant, ("clear",), vacant, insert), 2), "value", "len")
+    assert got == [(0, 0), (0, 1), (1, 1), (1, 2), (1 << 32, 2), (0, 1), (0, 1), (None, 0), (0, 0), (0, 1)]
+    got = outcomes(folds.slab(log_of(spark, insert, vacant), 1, 1), "status", "value")
+    assert got == [("ok", 0), ("full", None)]
+
+
 def test_boxed_golden(spark):
     got = outcomes(folds.boxed(log_of(spark, ("insert", 5), ("insert", 6), ("remove", 3, None), ("insert", 7), ("remove", 0, None), ("clear",), ("insert", 8)), 4), "status", "value")
     assert got == [("ok", 3), ("ok", 2), ("ok", 5), ("ok", 3), ("missing", None), ("ok", None), ("ok", 3)]
