@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import re
 import tempfile
 import uuid
@@ -28,10 +30,24 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+_written: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def sweep() -> None:
+    """Deletes the tables that materialise() wrote; results that still read them must have been written elsewhere."""
+    while _written:
+        spark, path = _written.pop()
+        with contextlib.suppress(Exception):  # the session may have ended
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def materialise(df: DataFrame, what: str) -> DataFrame:
     """Write df once to the shared folder and read it back: lineage is cut and nothing upstream runs twice."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -46,11 +62,16 @@ def words(text: Column) -> Column:
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, r"[\x20\x09-\x0D]+"))
 
 
+#: Rows and bytes of a batch that goes to a Python worker, unless the session asks for less.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 512, "spark.sql.execution.arrow.maxBytesPerBatch": 16 << 20}
+
+
 def in_batches(df: DataFrame, run, schema) -> DataFrame:
-    """df.mapInArrow(run, schema) with batches few enough rows long that very long texts stay within a worker's memory."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(df.sparkSession.conf.get(key)) <= 512:
-        df.sparkSession.conf.set(key, "512")
+    """df.mapInArrow(run, schema) in batches so small that long texts stay within a worker's memory."""
+    for key, most in BATCH.items():
+        now = int(re.sub(r"\D", "", df.sparkSession.conf.get(key)) or 0)
+        if not 0 < now <= most:
+            df.sparkSession.conf.set(key, str(most))
     return df.mapInArrow(run, schema)
 
 

@@ -30,6 +30,7 @@ Q = 7
 RATE = 0.10
 MIN_CHARS = 40
 BLOCK = 4_000_000
+PIECE = 2_000_000
 _BITS = 22
 
 
@@ -114,7 +115,30 @@ class Index:
                 yield d, i, (band_no - 1) * int(self.stride[i]) - longest
 
     def matches(self, texts: list[str]) -> list[tuple[int, object, int, int, int, int]]:
-        """(document, item id, start, end, distance, budget) in the normalised texts, the nearest of touching regions."""
+        """(document, item id, start, end, distance, budget) in the normalised texts, the nearest of touching regions.
+
+        Texts are taken together up to ``PIECE`` characters; a longer one goes in pieces that overlap by more than any
+        match, and what two pieces find is reported once.
+        """
+        if not self.items:
+            return []
+        lap = 2 * max(len(t) + 4 * int(k) for (_, t), k in zip(self.items, self.budget, strict=True))
+        found: set = set()
+        held: list[tuple[int, int, str]] = []
+        size = 0
+        for d, text in enumerate(texts):
+            for at in range(0, max(1, len(text) - lap), PIECE):
+                held.append((d, at, text[at : at + PIECE + lap]))
+                size += len(held[-1][2])
+                if size >= PIECE:
+                    found |= self._found(held)
+                    held, size = [], 0
+        return _apart(found | self._found(held))
+
+    def _found(self, held: list[tuple[int, int, str]]) -> set:
+        return {(held[d][0], i, held[d][1] + a, held[d][1] + b, distance, k, n) for d, i, a, b, distance, k, n in self._matches([t for _, _, t in held])} if held else set()
+
+    def _matches(self, texts: list[str]) -> list[tuple]:
         found: dict = {}
         for d, i, low in self.regions(texts):
             ident, item = self.items[i]
@@ -131,14 +155,19 @@ class Index:
                 start = end - back[1]
             key = (d, i, (a + end) // max(1, len(item) // 2))
             found[key] = min(found.get(key, (10**9, 0, 0)), (distance, a + start, a + end))
-        out: list = []
-        for (d, i, _), (distance, start, end) in sorted(found.items(), key=lambda x: (x[0][0], x[0][1], x[1][1])):
-            if out and out[-1][0] == d and out[-1][1] == self.items[i][0] and start < out[-1][3] and out[-1][6] == i:
-                if distance < out[-1][4]:
-                    out[-1] = (d, self.items[i][0], start, end, distance, int(self.budget[i]), i)
-                continue
-            out.append((d, self.items[i][0], start, end, distance, int(self.budget[i]), i))
-        return [x[:6] for x in out]
+        return [(d, self.items[i][0], start, end, distance, int(self.budget[i]), i) for (d, i, _), (distance, start, end) in found.items()]
+
+
+def _apart(found: set) -> list[tuple]:
+    """Of matches of one item that overlap in a document the nearest, the first of equals; without the item's number."""
+    out: list = []
+    for x in sorted(found, key=lambda x: (x[0], x[6], x[2], x[3])):
+        if out and (out[-1][0], out[-1][6]) == (x[0], x[6]) and x[2] < out[-1][3]:
+            if x[4] < out[-1][4]:
+                out[-1] = x
+        else:
+            out.append(x)
+    return [x[:6] for x in sorted(out, key=lambda x: (x[0], x[2], x[3], x[6]))]
 
 
 def _spread(places: np.ndarray, diagonals: np.ndarray, width: int) -> int:

@@ -108,6 +108,19 @@ def test_alignment_is_the_edit_distance():
         assert decontaminate.align(item, region, -len(item), len(region))[0] == distance(item, region)
 
 
+def test_long_texts_go_in_pieces(monkeypatch):
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9)))
+    items = [(i, " ".join(word() for _ in range(20))) for i in range(3)] + [(0, " ".join(word() for _ in range(20)))]
+    texts = [" ".join(w for k in range(60) for w in ([items[k % 4][1]] if rng.random() < 0.2 else [word() for _ in range(10)])) for _ in range(6)]
+    index = decontaminate.Index(items)
+    whole = index.matches(texts)
+    assert len(whole) == sum(len(re.findall(re.escape(t), x)) for _, t in items for x in texts)
+    for piece in (700, 3000):
+        monkeypatch.setattr(decontaminate, "PIECE", piece)
+        assert index.matches(texts) == whole
+
+
 def test_decontamination_finds_what_is_within_budget(spark, folder):
     rng = random.Random(3)
     con = duckdb.connect()
