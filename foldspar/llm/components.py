@@ -23,9 +23,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
         mark = new
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("m")).select("n", F.least("n", "m").alias("m"))
+        # written before the join, which then reads plain exchanges and can split a hub's rows
+        least = materialise(both.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("m")).select("n", F.least("n", "m").alias("m")), "components-least")
         large = both.join(least, both["a"] == least["n"]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        least = large.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("m"))
+        large = materialise(large, "components-large")
+        least = materialise(large.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("m")), "components-least")
         hung = large.join(least, large["a"] == least["n"]).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         now = materialise(hung.unionByName(least.select(F.col("n").alias("a"), F.col("m").alias("b"))).distinct(), "components")
 

@@ -97,6 +97,7 @@ def judged(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, str,
         urls = urls.select("url", tokens("url", "host", "path").alias("tokens")).withColumn("token", F.explode("tokens"))
         index = mined.select("token", "antecedent")
         hit = urls.join(index, "token").where(F.size(F.array_except("antecedent", "tokens")) == 0).select(F.col("url").alias("b_url")).distinct().withColumn("hit", F.lit(True))
+        hit = materialise(hit, "url-hits")  # so that the rows of a url that many pages share can be split
         rows = rows.join(hit, rows["url"] == hit["b_url"], "left")
         blocked = F.col("hit").isNotNull()
     method = F.when(blocked, "block").otherwise("allow")
