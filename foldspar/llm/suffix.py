@@ -195,7 +195,8 @@ def repeated(keyed: DataFrame) -> DataFrame:
     Rows with the same key must hold the same text; they count as copies of each other.
     """
     found = materialise(in_batches(keyed.select("row", "text"), _anchored, "name long, cover long, row long, spot long, weight int"), "suffix-anchors")
-    often = found.groupBy("name").agg(F.sum("weight").alias("n")).where("n > 1").select("name")
+    # each grouped side of a join by name is written first: the join then reads plain exchanges, whose hot parts can be split
+    often = materialise(found.groupBy("name").agg(F.sum("weight").alias("n")).where("n > 1").select("name"), "suffix-often")
     shared = materialise(found.join(often, "name", "left_semi"), "suffix-half")
     classes = shared.groupBy("name", "cover").agg(F.sum("weight").alias("n"), F.min(F.struct("row", "spot")).alias("one"))
     classes = materialise(classes.select("name", "cover", "n", "one.row", "one.spot"), "suffix-ranks")
@@ -203,6 +204,7 @@ def repeated(keyed: DataFrame) -> DataFrame:
     settled = shared.join(classes.where("n > 1").select("name", "cover"), ["name", "cover"], "left_semi").select("row", *extent)
 
     by_name = classes.groupBy("name").agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("least")).where("least = 1")
+    by_name = materialise(by_name, "suffix-open")
     members = classes.join(by_name, "name").select("row", F.struct("name", "spot", (F.col("n") == 1).alias("open"), (F.col("m") > HOT).alias("hot")).alias("w"))
     wanted = members.groupBy("row").agg(F.collect_list("w").alias("wanted")).withColumnRenamed("row", "w_row")  # at most what the text holds
     texts = keyed.join(wanted, keyed["row"] == wanted["w_row"]).select("row", "text", "wanted")
@@ -211,6 +213,7 @@ def repeated(keyed: DataFrame) -> DataFrame:
     few = in_batches(few, _matched, "row long, start long, end long")
     many = in_batches(cuts.where("hot"), _exploded, "name long, whole long, row long, start long, open boolean")
     twice = many.groupBy("name", "whole").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("name", "whole")
+    twice = materialise(twice, "suffix-twice")
     many = many.join(twice, ["name", "whole"], "left_semi").where("open").select("row", "start", (F.col("start") + LENGTH).alias("end"))
     return settled.unionByName(few).unionByName(many)
 
