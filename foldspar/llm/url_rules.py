@@ -6,7 +6,7 @@ those with enough support and confidence, and no shorter rule inside them that i
 posted once in an inverted index, under its rarest token; a URL's tokens look up rules there and a found rule's whole
 antecedent is verified. Every distinct URL is matched once, so a URL that many pages share is no burden.
 
-Defined results: a null url, or one without ``://``, has empty host and path, fits no rule and is allowed; without
+Defined results: a null url, or one without ``://``, has empty host and path, fits no rule and is allowed; with few
 labelled rows no rule is mined and every url is allowed that no fixed rule blocks; repeated rows are judged alike;
 null page ids count as unlabelled; further columns are ignored.
 """
@@ -56,14 +56,16 @@ def tokens(url: str, host: str, path: str) -> Column:
     return F.array_distinct(F.filter(F.concat(*parts), lambda x: F.length(x) > 2))
 
 
-def mine(labelled: DataFrame, max_rows: int = 20_000, min_support: float = 0.002, min_confidence: float = 0.8) -> DataFrame | None:
+def mine(labelled: DataFrame, max_rows: int = 20_000, min_support: float = 0.002, min_confidence: float = 0.8, min_count: int = 20) -> DataFrame | None:
     """Rules (antecedent, token, confidence, support) from rows with tokens and bad; None without rows.
 
-    At most about max_rows rows are mined, the share with the smallest hashes.
+    At most about max_rows rows are mined, the share with the smallest hashes. A rule needs the support min_support and
+    min_count rows, so that a few rows show nothing.
     """
     n = labelled.count()
-    if not n:
+    if n < min_count:
         return None
+    min_support = max(min_support, min_count / min(n, max_rows))
     rows = labelled.where(F.pmod(F.xxhash64("page_id", "tokens"), F.lit(1_000_000)) < F.lit(1_000_000 * max_rows // n))
     rows = materialise(rows.select(F.when(F.col("bad"), F.array_append("tokens", BAD)).otherwise(F.col("tokens")).alias("items")).where(F.size("items") > 0), "url-transactions")
     if rows.isEmpty():
