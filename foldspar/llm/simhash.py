@@ -88,7 +88,8 @@ def _cells(points: DataFrame) -> DataFrame:
 def links(points: DataFrame) -> DataFrame:
     """Pairs a, b of the distinct values fp of points that differ in at most two bits: all of them, or, where a cell is busy, enough to connect what they connect."""
     cells = _cells(points)
-    sizes = cells.groupBy("grid", "cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # written first, so that the join reads plain exchanges, whose hot parts can be split; so are the grouped sides below
+    sizes = materialise(cells.groupBy("grid", "cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "simhash-sizes")
     shared = materialise(cells.join(sizes, ["grid", "cell"]), "simhash-cells")
     some = shared.where(F.col("n") <= BUSY)
     x, y = some.alias("x"), some.alias("y")
@@ -109,7 +110,7 @@ def grouped(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     roots = components(links(points))
     named = points.join(roots, points["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = named.join(least, "root").select(F.col("fp").alias("n_fp"), "component_id")
+    named = materialise(named.join(least, "root").select(F.col("fp").alias("n_fp"), "component_id"), "simhash-named")
     rows = rows.join(named, rows["fp"] == named["n_fp"])
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -121,10 +122,18 @@ def grouped(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
 # similarity s agree on a sample, and so on its fingerprint, with probability near s ** SAMPLE. Texts that share a
 # fingerprint are linked to the bucket's first one if the share of equal minima in BINS bins reaches the similarity.
 
-SKETCHES, SAMPLE, BINS = 24, 4, 512
+SKETCHES, SAMPLE, BINS = 24, 4, 2048
 _rng = np.random.default_rng(20)
 _XOR, _MUL = (_rng.integers(1, 2**63, SKETCHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
-_EDGES = np.arange(BINS, dtype=np.uint64) << np.uint64(64 - 9)
+_EDGES = np.arange(BINS, dtype=np.uint64) << np.uint64(64 - BINS.bit_length() + 1)
+
+
+def _sampled(h: np.ndarray, first: int, last: int) -> np.ndarray:
+    """The SAMPLE values of h that are least under each of some permutations."""
+    x, m = _XOR[first:last, None], _MUL[first:last, None]
+    p = (h[None, :] ^ x) * m
+    p ^= p >> np.uint64(32)
+    return h[np.argpartition(p * m, SAMPLE, axis=1)[:, :SAMPLE]]
 
 
 def sketch(text: str | None, k: int = 5) -> tuple[list[int], bytes]:
@@ -132,17 +141,13 @@ def sketch(text: str | None, k: int = 5) -> tuple[list[int], bytes]:
     h = np.unique(shingle_hashes(text, k))
     if not len(h):
         return [0] * SKETCHES, bytes(BINS)
-    out = []
-    for x, m in zip(_XOR, _MUL, strict=True):
-        if len(h) > SAMPLE:
-            p = (h ^ x) * m
-            p ^= p >> np.uint64(32)
-            picked = h[np.argpartition(p * m, SAMPLE)[:SAMPLE]]
-        else:
-            picked = h
-        out.append(picked)
-    sized = out[0].shape[0]
-    bits = np.unpackbits(np.concatenate(out).view(np.uint8).reshape(SKETCHES, sized, 8), axis=2, bitorder="little").sum(axis=1)
+    if len(h) <= SAMPLE:
+        picked = np.broadcast_to(h, (SKETCHES, len(h)))
+    else:
+        step = max(1, (1 << 17) // len(h))  # permutations at a time, so that a long text takes no more memory
+        picked = np.concatenate([_sampled(h, at, at + step) for at in range(0, SKETCHES, step)])
+    sized = picked.shape[1]
+    bits = np.unpackbits(np.ascontiguousarray(picked).view(np.uint8).reshape(SKETCHES, sized, 8), axis=2, bitorder="little").sum(axis=1)
     prints = np.packbits(2 * bits > sized, axis=1, bitorder="little").view(np.int64).ravel().tolist()
     at = np.searchsorted(h, _EDGES)
     inside = at < np.append(at[1:], len(h))
@@ -163,7 +168,7 @@ def one_of_each(docs: DataFrame, k: int = 5, similarity: float = 0.8, slack: flo
     """docs without the rows that are linked, directly or through others, to an earlier row.
 
     Links take shingles of k words and an estimated similarity of at least ``similarity - slack`` (the estimate's
-    standard error is at most 0.02 for texts of over 512 shingles and vanishes for short ones).
+    standard error is at most 0.01, for texts of many thousand shingles, and vanishes for short ones).
     """
     base = materialise(docs.withColumn("__sim_row", F.monotonically_increasing_id()), "simhash-documents")
 
@@ -175,6 +180,7 @@ def one_of_each(docs: DataFrame, k: int = 5, similarity: float = 0.8, slack: flo
     made = materialise(in_batches(base.select("__sim_row", text), run, "row long, prints array<long>, bins binary"), "simhash-sketches")
     spots = made.select("row", F.posexplode("prints").alias("j", "fp")).withColumn("j", F.col("j").cast("byte"))
     first = spots.groupBy("j", "fp").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    first = materialise(first, "simhash-first")
     pairs = spots.join(first, ["j", "fp"]).where("row <> first").select("row", "first").distinct()
     bins = made.select(F.col("row").alias("r"), "bins")
     pairs = pairs.join(bins, pairs["row"] == bins["r"]).select("row", "first", F.col("bins").alias("x"))
