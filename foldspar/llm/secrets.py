@@ -12,13 +12,13 @@ other columns are ignored by the query and pass through the redaction untouched.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 from math import log2
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from foldspar.llm.common import id_type, in_batches
 
@@ -114,24 +114,27 @@ def _joined(spans: list) -> str:
     return ",".join(f"{kind}:{a}:{b}" for a, b, kind in spans)
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """The contract's columns for every document."""
+_FOUND = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string()), ("base", pa.bool_())]))
+
+
+def found(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
+    """ident and found, an array of spans (start, end, kind, base) in their order, for every row; base marks the fixed patterns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts: dict[str, list] = {k: [] for k in KINDS[:3]}
-            digests, spans = [], []
-            for text in batch.column(1).to_pylist():
-                base, every = all_spans(text or "")
-                for k in KINDS[:3]:
-                    counts[k].append(sum(x[2] == k for x in base))
-                digests.append(hashlib.sha256(_joined(base).encode()).hexdigest())
-                spans.append(_joined(every))
-            columns = [batch.column(0), *[pa.array(v, pa.int64()) for v in counts.values()], pa.array(digests, pa.string()), pa.array(spans, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
-
-    schema = f"doc_id {id_type(docs)}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
-    return in_batches(docs.select("doc_id", "text"), run, schema)
+            spans = [[{"start": a, "end": b, "kind": kind, "base": kind != "entropy"} for a, b, kind in all_spans(x)[1]] if x else [] for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, _FOUND)], names=[ident, "found"])
+
+    return in_batches(docs.select(ident, text), run, f"{ident} {id_type(docs, ident)}, found array<struct<start:bigint,end:bigint,kind:string,base:boolean>>")
+
+
+def scan(docs: DataFrame) -> DataFrame:
+    """The contract's columns for every document."""
+    joined = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+    base = F.filter("found", lambda x: x["base"])
+    of = lambda kind: F.size(F.filter("found", lambda x: x["kind"] == kind)).cast("long")
+    counts = [of(k).alias(f"n_{k}") for k in KINDS[:3]]
+    return found(docs).select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined("found").alias("spans"))
 
 
 def redacted(text: str, mark: str) -> str:
