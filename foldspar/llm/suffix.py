@@ -22,7 +22,6 @@ table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -173,7 +172,7 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         for text, gone in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
             data = text.encode("utf-8", "surrogatepass")
-            kept, removed, spans, at = hashlib.sha256(), 0, 0, 0
+            kept, removed, at = [], 0, 0
             runs: list[list[int]] = []
             for a, b in sorted((x["start"], x["end"]) for x in gone or ()):
                 if runs and a <= runs[-1][1]:
@@ -181,12 +180,12 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 else:
                     runs.append([a, b])
             for a, b in runs:
-                kept.update(data[at:a])
-                removed, spans, at = removed + b - a, spans + 1, b
-            kept.update(data[at:])
-            out.append((len(data), removed, spans, kept.hexdigest()))
+                kept.append(data[at:a])
+                removed, at = removed + b - a, b
+            kept.append(data[at:])
+            out.append((len(data), removed, len(runs), b"".join(kept)))
         numbers = [pa.array([x[k] for x in out], pa.int64()) for k in range(3)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), *numbers, pa.array([x[3] for x in out], pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), *numbers, pa.array([x[3] for x in out], pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
 
 def repeated(keyed: DataFrame) -> DataFrame:
@@ -218,9 +217,14 @@ def repeated(keyed: DataFrame) -> DataFrame:
     return settled.unionByName(few).unionByName(many)
 
 
-def removed(docs: DataFrame) -> DataFrame:
-    """The contract's columns for every document."""
+def cleaned(docs: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and kept (the remaining bytes) of every document."""
     keyed = docs.select("doc_id", text_or_empty().alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
     gone = repeated(keyed).groupBy(F.col("row").alias("g_row")).agg(F.collect_list(F.struct("start", "end")).alias("gone"))
     rows = keyed.join(gone, keyed["row"] == gone["g_row"], "left").select("doc_id", "text", "gone")
-    return in_batches(rows, _kept, f"doc_id {id_type(docs)}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return in_batches(rows, _kept, f"doc_id {id_type(docs)}, n_bytes long, n_removed long, n_spans long, kept binary")
+
+
+def removed(docs: DataFrame) -> DataFrame:
+    """The contract's columns for every document."""
+    return cleaned(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
