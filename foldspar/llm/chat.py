@@ -8,7 +8,7 @@ conversations the smallest conv_id stays. What is left is rendered.
 Long conversations are cut into blocks of ``BLOCK`` turn numbers: running values are formed in each block and then over
 the blocks, and each block is rendered as a part of its own, so no task gathers a conversation of any length.
 
-Defined results: turns go by turn number (null first), then role, then text; rows equal in all four columns count once;
+Defined results: turns go by turn number (null first), then role, then a hash of role and text; rows equal in all four columns count once;
 null role or text renders as empty; rows with null conv_id form one conversation; an empty table gives no rows; other
 columns are ignored. Markers inside a text are broken up so that they cannot open or close a turn.
 """
@@ -22,12 +22,21 @@ from foldspar.llm.common import materialise
 
 BLOCK = 256
 START, END = "<|im_start|>", "<|im_end|>"
-ORDER = ["turn", "role", "text"]
+ORDER = ["turn", "role", "x", "y"]
+
+
+def _block() -> Column:
+    return F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-(2**62))).cast("long")
+
+
+def _hashes() -> list[Column]:
+    told = F.concat_ws("\x01", F.coalesce("role", F.lit("\x02")), F.coalesce("text", F.lit("\x02")))
+    return [F.xxhash64("role", F.lit(1), "text").alias("x"), F.xxhash64(F.sha2(told, 256)).alias("y")]
 
 
 def _turns(conversations: DataFrame) -> DataFrame:
-    block = F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-(2**62))).cast("long")
-    return conversations.select("conv_id", "turn", "role", "text").dropDuplicates().withColumn("block", block)
+    """Each distinct turn without its text: conv_id, block, turn, role and two hashes, written once."""
+    return materialise(conversations.select("conv_id", _block().alias("block"), "turn", "role", *_hashes()).dropDuplicates(), "chat-turns")
 
 
 def _in_block():
@@ -42,11 +51,9 @@ def _blocks_before(rows: DataFrame, **sums: Column) -> DataFrame:
     return blocks.select("b_conv", "b_block", *[c.alias(k) for k, c in run.items()])
 
 
-def prefixes(conversations: DataFrame) -> DataFrame:
+def prefixes(turns: DataFrame) -> DataFrame:
     """conv_id, n (turns in the prefix), a and b (its hash): a row for each prefix of each conversation."""
-    rows = _turns(conversations).withColumn("i", F.row_number().over(_in_block()))
-    rows = rows.select("conv_id", "block", "i", F.xxhash64("role", F.lit(1), "text").alias("x"), F.sha2(F.concat_ws("\x01", F.coalesce("role", F.lit("\x02")), F.coalesce("text", F.lit("\x02"))), 256).alias("y"))
-    rows = materialise(rows, "chat-turns")
+    rows = turns.withColumn("i", F.row_number().over(_in_block()))
     first = _blocks_before(rows, before=F.count(F.lit(1)))
     rows = rows.join(first, rows["conv_id"].eqNullSafe(first["b_conv"]) & (rows["block"] == first["b_block"])).drop("b_conv", "b_block")
     rows = rows.withColumn("n", F.col("before") + F.col("i"))
@@ -58,9 +65,9 @@ def prefixes(conversations: DataFrame) -> DataFrame:
     return rows.select("conv_id", "n", F.col("a").bitwiseXOR(F.col("ra")).alias("a"), F.col("b").bitwiseXOR(F.col("rb")).alias("b"))
 
 
-def maximal(conversations: DataFrame) -> DataFrame:
+def maximal(turns: DataFrame) -> DataFrame:
     """conv_id and n_turns of the conversations that stay, and n_equal, how many were equal to it, itself included."""
-    p = materialise(prefixes(conversations), "chat-prefixes")
+    p = materialise(prefixes(turns), "chat-prefixes")
     length = materialise(p.groupBy(F.col("conv_id").alias("l_conv")).agg(F.max("n").alias("length")), "chat-length")
     p = materialise(p.join(length, p["conv_id"].eqNullSafe(length["l_conv"])).drop("l_conv"), "chat-lengths")
     whole = p.where("n = length").groupBy("n", "a", "b").agg(F.min("conv_id").alias("conv_id"), F.count(F.lit(1)).alias("n_equal"))
@@ -76,15 +83,25 @@ def _clean(text: Column) -> Column:
 
 
 def render(conversations: DataFrame) -> DataFrame:
-    """conv_id, part, n_turns, n_equal and rendered: the maximal conversations in parts of BLOCK turn numbers each."""
-    keep = materialise(maximal(conversations).withColumnRenamed("conv_id", "k_conv"), "chat-kept")
-    rows = _turns(conversations)
-    rows = rows.join(keep, rows["conv_id"].eqNullSafe(keep["k_conv"]))
-    turn = F.struct("turn", "role", "text")
-    parts = rows.groupBy("conv_id", "block").agg(F.sort_array(F.collect_list(turn)).alias("turns"), F.first("n_turns").alias("n_turns"), F.first("n_equal").alias("n_equal"))
+    """conv_id, part, n_turns, n_equal and rendered: the maximal conversations in parts of BLOCK turn numbers each.
+
+    Texts move once, to the block that they are rendered in.
+    """
+    turns = _turns(conversations)
+    keep = materialise(maximal(turns).withColumnRenamed("conv_id", "m_conv"), "chat-kept")
+    blocks = turns.select("conv_id", "block").distinct()
+    blocks = blocks.join(keep, blocks["conv_id"].eqNullSafe(keep["m_conv"]))
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("block")).cast("long")
+    # a key without nulls, by which both the join and the groups are dealt
+    key = F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit("null"))
+    blocks = materialise(blocks.select(key.alias("k_key"), F.col("block").alias("k_block"), "n_turns", "n_equal", place.alias("part")), "chat-blocks")
+    rows = conversations.select(key.alias("key"), "conv_id", _block().alias("block"), "turn", "role", "text")
+    rows = rows.join(blocks, (rows["key"] == blocks["k_key"]) & (rows["block"] == blocks["k_block"]))
+    turn = F.struct("turn", "role", *_hashes(), "text")
+    same = [F.first(c).alias(c) for c in ("conv_id", "part", "n_turns", "n_equal")]
+    parts = rows.groupBy("key", "block").agg(F.sort_array(F.collect_set(turn)).alias("turns"), *same)
     one = lambda t: F.concat(F.lit(START), _clean(t["role"]), F.lit("\n"), _clean(t["text"]), F.lit(END + "\n"))
-    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("block"))
-    return parts.select("conv_id", place.cast("long").alias("part"), "n_turns", "n_equal", F.array_join(F.transform("turns", one), "").alias("rendered"))
+    return parts.select("conv_id", "part", "n_turns", "n_equal", F.array_join(F.transform("turns", one), "").alias("rendered"))
 
 
 ORACLE = r"""
