@@ -175,18 +175,26 @@ def judge(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "
     rows = with_statistics(df, text, p)
     rows = rows.withColumns({f"{p}x{i}": c for i, c in enumerate(_vector(p).values())})
     rows = materialise(rows if keep_text else rows.drop(text), "quality-statistics")
-    narrow = rows.select(F.col(lang).alias("lang"), F.col(source).alias("source"), *[F.col(f"{p}x{i}").alias(f"x{i}") for i in range(D)], F.lit(1).alias("all")).where(F.col(f"{p}n_words") >= min_words)
-    groups = estimates(narrow, ["lang", "source"]).where(F.col("n") >= min_group)
-    whole = estimates(narrow, ["all"]).select(F.col("e").alias(f"{p}w"))
+    own = F.struct(F.col(lang).alias("lang"), F.col(source).alias("source"), F.lit(False).alias("whole"))
+    every = F.struct(F.lit(None).cast("string").alias("lang"), F.lit(None).cast("string").alias("source"), F.lit(True).alias("whole"))
+    narrow = rows.where(F.col(f"{p}n_words") >= min_words).select(F.explode(F.array(own, every)).alias("g"), *[F.col(f"{p}x{i}").alias(f"x{i}") for i in range(D)])
+    found = estimates(narrow.select("g.*", *[f"x{i}" for i in range(D)]), ["lang", "source", "whole"])
+    groups = found.where(~F.col("g_whole") & (F.col("n") >= min_group))
     groups = groups.select(F.col("g_lang").alias(f"{p}g_lang"), F.col("g_source").alias(f"{p}g_source"), F.col("e").alias(f"{p}e"))
     same = F.col(lang).eqNullSafe(F.col(f"{p}g_lang")) & F.col(source).eqNullSafe(F.col(f"{p}g_source"))
     rows = rows.join(groups, same, "left").drop(f"{p}g_lang", f"{p}g_source")
-    rows = rows.join(F.broadcast(whole), F.lit(True), "left")  # one row
-    rows = rows.withColumn(f"{p}e", F.coalesce(f"{p}e", f"{p}w"))
+    rows = rows.withColumn(f"{p}e", F.coalesce(f"{p}e", _literal(found.where("g_whole").first())))
     failed = (F.col(f"{p}n_words") < min_words) | (100 * F.col(f"{p}n_repeat_words") > max_repeat_percent * F.col(f"{p}n_words"))
     rows = rows.withColumns({f"{p}base_failed": failed, f"{p}distance": _distance([F.col(f"{p}x{i}") for i in range(D)], f"{p}e")})
     far = F.coalesce(F.col(f"{p}distance") > chi_square(tail), F.lit(False))
-    return rows.withColumn(f"{p}kept", ~failed & ~far).drop(f"{p}e", f"{p}w", *[f"{p}x{i}" for i in range(D)])
+    return rows.withColumn(f"{p}kept", ~failed & ~far).drop(f"{p}e", *[f"{p}x{i}" for i in range(D)])
+
+
+def _literal(row) -> Column:
+    """The estimate of a row (one over all rows: twenty numbers) as a literal; null if there is none."""
+    if row is None:
+        return F.lit(None).cast("struct<m:array<double>,v:array<double>>")
+    return F.struct(*[F.array(*[F.lit(x) for x in row["e"][k]]).alias(k) for k in "mv"])
 
 
 def documents_judged(docs: DataFrame) -> DataFrame:
