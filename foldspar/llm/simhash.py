@@ -120,9 +120,12 @@ def grouped(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
 # A fingerprint of the whole text at two bits finds copies with very few changes only. For a similarity of 0.8 the same
 # fingerprints are taken of samples: the SAMPLE shingles that are least under one of SKETCHES permutations. Texts of
 # similarity s agree on a sample, and so on its fingerprint, with probability near s ** SAMPLE. Texts that share a
-# fingerprint are linked to the bucket's first one if the share of equal minima in BINS bins reaches the similarity.
+# fingerprint are linked if the share of equal minima in BINS bins reaches the similarity: each is compared with the
+# bucket's first one, and where that leaves a bucket in several components, every two texts of different ones.
 
 SKETCHES, SAMPLE, BINS = 24, 4, 2048
+#: Rows of a bucket that are compared in one group.
+CHUNK = 256
 _rng = np.random.default_rng(20)
 _XOR, _MUL = (_rng.integers(1, 2**63, SKETCHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
 _EDGES = np.arange(BINS, dtype=np.uint64) << np.uint64(64 - BINS.bit_length() + 1)
@@ -155,15 +158,38 @@ def sketch(text: str | None, k: int = 5) -> tuple[list[int], bytes]:
     return prints, np.where(inside, value, 0).astype(np.uint8).tobytes()
 
 
+def _share(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The share of equal minima in the bins that either has, row by row."""
+    either = ((x > 0) | (y > 0)).sum(axis=-1)
+    same = ((x == y) & (x > 0)).sum(axis=-1)
+    return np.where(either > 0, same / np.maximum(either, 1), 1.0)
+
+
+def _bins(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, BINS)
+
+
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, BINS) for k in (2, 3))
-        either = ((x > 0) | (y > 0)).sum(axis=1)
-        same = ((x == y) & (x > 0)).sum(axis=1)
-        share = np.where(either > 0, same / np.maximum(either, 1), 1.0)
+        share = _share(_bins(batch.column(2)), _bins(batch.column(3)))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(share, pa.float64())], names=["a", "b", "share"])
 
 
+def _met(table: pa.Table, least: float) -> pa.Table:
+    """Links between rows of the chunks lo and hi of a bucket; rows that earlier links connect are not compared."""
+    row, label, chunk = (table.column(k).to_numpy().copy() for k in ("row", "label", "c"))
+    lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
+    bins, right = _bins(table.column("bins")), np.flatnonzero(chunk == hi)
+    found: list[tuple[int, int]] = []
+    for i in np.flatnonzero(chunk == lo):
+        others = right[(label[right] != label[i]) & ((lo != hi) | (row[right] > row[i]))]
+        near = others[_share(bins[i], bins[others]) >= least]
+        found += [(row[k], row[i]) for k in near[np.unique(label[near], return_index=True)[1]]]
+        if len(near):
+            label[np.isin(label, label[near])] = label[i]
+    return pa.table({"a": pa.array([x[0] for x in found], pa.int64()), "b": pa.array([x[1] for x in found], pa.int64())})
+
+
 def one_of_each(docs: DataFrame, k: int = 5, similarity: float = 0.8, slack: float = 0.01, text: str = "text") -> DataFrame:
     """docs without the rows that are linked, directly or through others, to an earlier row.
 
@@ -179,12 +205,42 @@ def one_of_each(docs: DataFrame, k: int = 5, similarity: float = 0.8, slack: flo
 
     made = materialise(in_batches(base.select("__sim_row", text), run, "row long, prints array<long>, bins binary"), "simhash-sketches")
     spots = made.select("row", F.posexplode("prints").alias("j", "fp")).withColumn("j", F.col("j").cast("byte"))
-    first = spots.groupBy("j", "fp").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    first = materialise(first, "simhash-first")
-    pairs = spots.join(first, ["j", "fp"]).where("row <> first").select("row", "first").distinct()
+    first = materialise(spots.groupBy("j", "fp").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"), "simhash-first")
+    shared = materialise(spots.join(first, ["j", "fp"]), "simhash-shared")
+    pairs = shared.where("row <> first").select("row", "first").distinct()
     bins = made.select(F.col("row").alias("r"), "bins")
     pairs = pairs.join(bins, pairs["row"] == bins["r"]).select("row", "first", F.col("bins").alias("x"))
     pairs = pairs.join(bins, pairs["first"] == bins["r"]).select("row", "first", "x", F.col("bins").alias("y"))
-    linked = in_batches(pairs, _similar, "a long, b long, share double").where(F.col("share") >= similarity - slack)
-    gone = components(linked.select("a", "b")).select(F.col("node").alias("__sim_node"))
+    linked = in_batches(pairs, _similar, "a long, b long, share double").where(F.col("share") >= similarity - slack).select("a", "b")
+    linked = materialise(linked, "simhash-linked")
+    roots = components(linked)
+    # by few samples first: what they connect needs no comparison under the others
+    for some in (range(1), range(1, 4), range(4, SKETCHES)):
+        more = _across(shared.where((F.col("n") > 2) & F.col("j").between(some[0], some[-1])), roots, bins, similarity - slack)
+        if more is not None:
+            roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+    gone = roots.select(F.col("node").alias("__sim_node"))
     return base.join(gone, base["__sim_row"] == gone["__sim_node"], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def _across(shared: DataFrame, roots: DataFrame, bins: DataFrame, least: float) -> DataFrame | None:
+    """Links between rows of a bucket that the links to its first row leave apart: every such pair is compared.
+
+    A bucket of more than ``CHUNK`` rows is dealt by hash to chunks, and each two chunks meet in a group of their own.
+    None if the first rows connect every bucket.
+    """
+    labelled = shared.join(roots, shared["row"] == roots["node"], "left").select("j", "fp", "row", F.coalesce("root", "row").alias("label"))
+    labelled = materialise(labelled, "simhash-labelled")
+    apart = labelled.groupBy("j", "fp").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n")).where("low <> high")
+    apart = materialise(apart.select("j", "fp", F.ceil(F.col("n") / CHUNK).alias("k")), "simhash-apart")
+    if apart.isEmpty():
+        return None
+    rows = labelled.join(apart, ["j", "fp"]).withColumn("c", F.pmod(F.xxhash64("row"), F.col("k")))
+    rows = rows.join(bins, rows["row"] == bins["r"]).drop("r")
+    rows = rows.withColumn("d", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
+    rows = rows.select("j", "fp", F.least("c", "d").alias("lo"), F.greatest("c", "d").alias("hi"), "c", "row", "label", "bins")
+
+    def met(table: pa.Table) -> pa.Table:
+        return _met(table, least)
+
+    return materialise(rows.groupBy("j", "fp", "lo", "hi").applyInArrow(met, "a long, b long").distinct(), "simhash-across")

@@ -420,6 +420,24 @@ def test_one_of_each_group_stays(spark):
     assert [sum(i in kept for i in g) for g in groups] == [1] * len(groups) and len(docs) - 1 in kept
 
 
+@pytest.mark.parametrize("chunk", [256, 20])
+def test_pairs_behind_a_template_against_brute_force(spark, monkeypatch, chunk):
+    monkeypatch.setattr(simhash, "CHUNK", chunk)
+    rng = random.Random(12)
+    word = lambda: "w%d" % rng.randrange(10**9)
+    common = [word() for _ in range(850)]
+    docs = []
+    for _ in range(60):  # pairs at about 0.87 that share the template with all others, at about 0.74
+        own = [word() for _ in range(150)]
+        docs += [common + own[:80] + own[80:], common + own[:80] + [word() for _ in range(70)]]
+    sets = [set(simhash.shingle_hashes(" ".join(d), 5).tolist()) for d in docs]
+    near = [(i, k) for i in range(len(docs)) for k in range(i) if len(sets[i] & sets[k]) >= 0.8 * len(sets[i] | sets[k])]
+    assert near == [(i + 1, i) for i in range(0, len(docs), 2)]
+    rng.shuffle(order := list(range(len(docs))))
+    kept = {r.doc_id for r in simhash.one_of_each(spark.createDataFrame([(i, " ".join(docs[i])) for i in order], "doc_id long, text string")).collect()}
+    assert [(i in kept) + (i + 1 in kept) for i in range(0, len(docs), 2)] == [1] * 60
+
+
 # -- the pipeline
 
 
