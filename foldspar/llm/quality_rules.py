@@ -1,8 +1,9 @@
 """Quality rules and robust multivariate outliers, in native expressions.
 
 Every text gets word and line statistics in one row-local pass; transformed ratios of them form a vector, and for each
-language and source a minimum-covariance-determinant estimate (concentration steps on the closest part of the rows)
-gives the centre and the scatter against which the row's squared Mahalanobis distance is judged.
+language and source a minimum-covariance-determinant estimate (concentration steps on the closest half of the rows until
+the determinant stops falling, then a reweighting by distance) gives the centre and the scatter against which the row's
+squared Mahalanobis distance is judged. Junk of up to nearly half of a group's rows does not move it.
 
 Defined results: null or empty text has no words, so the base rule fails it; null language or source is a group of its
 own; groups under ``min_group`` rows are judged by the estimate over all rows; repeated rows and ties are each judged
@@ -124,12 +125,13 @@ def _factored(df: DataFrame, scale: float) -> DataFrame:
     return df.withColumn("e", F.struct(F.col("m"), v.alias("v")))
 
 
-def estimates(vectors: DataFrame, keys: list[str], keep: float = 0.75, steps: int = 3) -> DataFrame:
+def estimates(vectors: DataFrame, keys: list[str], keep: float = 0.5, reweight: float = 0.025) -> DataFrame:
     """MCD estimate e of each group of keys over the columns x0.. of vectors; n is the group's rows.
 
     Started from the medians and median deviations, each step keeps the share ``keep`` of a group's rows that lie
-    closest and takes their mean and covariance anew. Groups are only ever aggregated, so a hot one is pre-aggregated
-    where its rows lie.
+    closest and takes their mean and covariance anew, until no group's determinant falls by a hundredth any more (it
+    cannot fall for ever, as the floors bound it). A last step takes all rows but those beyond the upper quantile
+    ``reweight`` of the estimate. Groups are only ever aggregated, so a hot one is pre-aggregated where its rows lie.
     """
     x = [F.col(f"x{i}") for i in range(D)]
     same = lambda a, b: _all(a[k].eqNullSafe(b[f"g_{k}"]) for k in keys)
@@ -141,21 +143,43 @@ def estimates(vectors: DataFrame, keys: list[str], keep: float = 0.75, steps: in
     )
     s = F.array(*[F.col("m")[i] * F.col("m")[j] + (F.pow(F.col("mad")[i] * 1.4826, F.lit(2.0)) if i == j else F.lit(0.0)) for i in range(D) for j in range(D)])
     start = _factored(off.withColumn("s", s), 1.0)
-    e = materialise(start.select(*[F.col(f"g_{k}") for k in keys], "e", "n"), "mcd-start")
-    for step in range(steps):
-        near = vectors.join(e, same(vectors, e)).withColumn("d2", _distance(x, "e"))
-        cut = near.groupBy(*keys).agg(F.percentile_approx("d2", keep, 2000).alias("cut"), F.first("e").alias("e"), F.first("n").alias("n"))
-        cut = materialise(cut.select(*[F.col(k).alias(f"g_{k}") for k in keys], "cut", "e", "n"), "mcd-cut")
+    # the first step may raise the determinant, as the start is no step's outcome
+    e = materialise(start.select(*[F.col(f"g_{k}") for k in keys], "e", "n", F.lit(float("inf")).alias("det")), "mcd-start")
+
+    def stepped(cut: DataFrame, scale: float) -> DataFrame:
         kept = vectors.join(cut, same(vectors, cut)).where(_distance(x, "e") <= F.col("cut"))
         new = kept.groupBy(*keys).agg(
-            F.array(*[F.avg(c) for c in x]).alias("m"), F.array(*[F.avg(a * b) for a in x for b in x]).alias("s"), F.first("n").alias("n")
+            F.array(*[F.avg(c) for c in x]).alias("m"), F.array(*[F.avg(a * b) for a in x for b in x]).alias("s"), F.first("n").alias("n"), F.first("det").alias("was")
         )
-        e = materialise(named(_factored(new, CONSISTENCY)), "mcd-step")
-    return e
+        return _factored(new, scale)
+
+    falling = True
+    while falling:
+        near = vectors.join(e, same(vectors, e)).withColumn("d2", _distance(x, "e"))
+        cut = near.groupBy(*keys).agg(F.percentile_approx("d2", keep, 2000).alias("cut"), F.first("e").alias("e"), F.first("n").alias("n"), F.first("det").alias("det"))
+        cut = materialise(cut.select(*[F.col(k).alias(f"g_{k}") for k in keys], "cut", "e", "n", "det"), "mcd-cut")
+        new = stepped(cut, consistency(keep)).withColumn("fell", F.coalesce(_determinant() < 0.99 * F.col("was"), F.lit(False)))
+        # det is the least so far, so each further step needs a group that falls below all its former ones
+        new = new.select(*[F.col(k).alias(f"g_{k}") for k in keys], "e", "n", F.least(_determinant(), F.col("was")).alias("det"), "fell")
+        e = materialise(new, "mcd-step")
+        falling = not e.where("fell").isEmpty()
+    return materialise(named(stepped(e.withColumn("cut", F.lit(chi_square(reweight))), consistency(1 - reweight))), "mcd-reweighted")
+
+
+def _determinant() -> Column:
+    """Of the scatter that _factored has just made, from its Cholesky factor."""
+    out = F.lit(1.0)
+    for i in range(D):
+        out = out * F.col(f"l{i}{i}") * F.col(f"l{i}{i}")
+    return out
 
 
-#: By it the covariance of the closest 75 % of a normal sample in four dimensions is scaled.
-CONSISTENCY = 1.487
+def consistency(keep: float) -> float:
+    """By it the covariance of the closest share keep of a normal sample in D dimensions is scaled."""
+    from math import exp, factorial
+
+    half = chi_square(1 - keep) / 2
+    return keep / (1 - exp(-half) * sum(half**i / factorial(i) for i in range(D // 2 + 1)))
 
 
 def _all(conditions):
