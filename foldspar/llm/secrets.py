@@ -3,7 +3,8 @@
 Candidates are runs of characters that tokens are written in. In each of them, runs of one character class (hexadecimal,
 or base 64) are read by a window of fixed length whose character counts and entropy change by one character in and one
 out. Windows above the class's threshold that mix digits and letters are hits; hits that touch merge into spans of kind
-``entropy``. Allow-listed candidates are passed over, and so are hits inside a span of a fixed pattern.
+``entropy``. Allow-listed candidates are passed over, and so are hits inside a span of a fixed pattern. Addresses (scheme,
+host, port and path, but not userinfo, query or fragment; the domain of an e-mail) are cut out of candidates.
 
 Offsets are code points, the end exclusive. Defined results: null text counts as empty; a text without secrets has zero
 counts, the hash of the empty string and empty spans; repeated rows are scanned alike; an empty table gives no rows;
@@ -41,8 +42,8 @@ ALLOW = (
     re.compile("^(?:sha(?:1|256|384|512)|md5)[-=]"),
     re.compile("0123456789|ABCDEFGHIJ|abcdefghij"),
 )
-#: A candidate after one of these is part of an address.
-ALLOW_BEFORE = ("://", "@", "www.")
+#: Addresses: what follows a scheme without its userinfo, up to the end of the path; names after www.; domains after @.
+ADDRESS = re.compile(r"""(?:://(?:[^\s/?#@"'`<>,;|()\[\]{}\\]*@)?|\bwww\.)(?P<rest>[\w.-]*(?::[0-9]{1,5}(?![\w.~%+=-]))?(?:/[\w.~%/+-]*)?)|(?P<domain>@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}\b)""")
 _TERM = [0.0] + [c * log2(c) for c in range(1, WINDOW + 1)]
 
 
@@ -57,16 +58,17 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 def entropy_spans(text: str) -> list[tuple[int, int, str]]:
     """Spans of windows whose characters of one class are too evenly spread for words, merged where they touch."""
     hits = []
+    passed = [m.span("rest") if m["domain"] is None else m.span("domain") for m in ADDRESS.finditer(text)]
+    nth = 0
     for m in CANDIDATE.finditer(text):
-        run = m.group()
-        if run.isalpha() or not any(c.isdigit() for c in run) or any(a.search(run) for a in ALLOW):
-            continue
-        before = re.split(r"\s", text[max(0, m.start() - 200) : m.start()])[-1] + run[:2]  # slashes are part of the run
-        if any(a in before for a in ALLOW_BEFORE):
-            continue
-        for _, pattern, least in CLASSES:
-            for part in pattern.finditer(run):
-                hits += [(m.start() + part.start() + a, m.start() + part.start() + b) for a, b in _windows(part.group(), least)]
+        at = m.start()
+        while nth < len(passed) and passed[nth][1] <= at:
+            nth += 1
+        k = nth
+        while k < len(passed) and passed[k][0] < m.end():  # what is not of an address is judged
+            hits += _judged(text, at, passed[k][0])
+            at, k = passed[k][1], k + 1
+        hits += _judged(text, at, m.end())
     merged: list[list[int]] = []
     for a, b in sorted(hits):
         if merged and a <= merged[-1][1]:
@@ -76,6 +78,14 @@ def entropy_spans(text: str) -> list[tuple[int, int, str]]:
     return [(a, b, "entropy") for a, b in merged]
 
 
+def _judged(text: str, start: int, end: int) -> list[tuple[int, int]]:
+    """Extents of the windows in text[start:end] that are hits; none if it is too short or allow-listed."""
+    run = text[start:end]
+    if len(run) < WINDOW or run.isalpha() or not any(c.isdigit() for c in run) or any(a.search(run) for a in ALLOW):
+        return []
+    return [(start + part.start() + a, start + part.start() + b) for _, pattern, least in CLASSES for part in pattern.finditer(run) for a, b in _windows(part.group(), least)]
+
+
 def _windows(run: str, least: float) -> Iterator[tuple[int, int]]:
     """Extents of consecutive windows of run with at least that entropy, each window's counts made from the last one's."""
     counts: dict[str, int] = {}

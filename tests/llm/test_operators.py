@@ -83,6 +83,22 @@ def test_secret_cases(text, spans):
     assert secrets._joined(secrets.all_spans(text)[1]) == spans
 
 
+@pytest.mark.parametrize(
+    "around",
+    ['{"url":"https://x.io","k":"%s"}', "ann@b.org,%s", "https://u:%s@h.io/", "https://%s@h.io/a", "https://h.io/a?k=%s", "www.h.io/a?b=c&k=%s", "https://x.io/a,%s", "ann@b.org:%s", "http://h/#%s", "see https://u:%s@h.io:80/a?b"],
+)
+def test_secrets_beside_addresses(around):
+    secret = "Zk3pQ9vX7mB2nL5tR8wY1cD4hJ6gF0sA"
+    at = around.index("%s")
+    found = secrets.entropy_spans(around % secret)
+    assert len(found) == 1 and found[0][0] <= at and found[0][1] >= at + len(secret) and "[S]" in secrets.redacted(around % secret, "[S]")
+
+
+@pytest.mark.parametrize("text", ["https://x.io/a/%s", "www.x.io/%s/b", "https://x.io:80/%s.html", "ann@%s.org", "https://u@x.io/%s?a=b", "https://%s.io"])
+def test_parts_of_addresses_are_no_secrets(text):
+    assert secrets.entropy_spans(text % "Zk3pQ9vX7mB2nL5tR8wY1cD4") == []
+
+
 def test_redaction():
     assert secrets.redacted("a token = \"0123456789abcdef0123\" b", "*") == 'a *" b' and secrets.redacted("plain", "*") == "plain"
 
