@@ -8,8 +8,11 @@ the edit distance. Text and items are compared lower-cased with white space runs
 The benchmark is read in blocks of at most ``BLOCK`` characters (or one item), each block's index is broadcast and all
 documents pass it in one scan; documents are never shuffled.
 
-Defined results: null or empty text matches nothing; null items and items of under ``MIN_CHARS`` characters after
-normalisation are passed over; an item that occurs twice in the benchmark is reported under each of its rows; repeated
+The budget shrinks with the length: items of under 22 characters match without edits only, and those of fewer than ``Q``
+characters, which have no q-gram, by exact search.
+
+Defined results: null or empty text matches nothing; null items and items that are empty after normalisation are passed
+over; an item that occurs twice in the benchmark is reported under each of its rows; repeated
 documents are each reported; empty tables give no matches; other columns are ignored or pass through.
 """
 
@@ -28,7 +31,6 @@ from foldspar.llm.common import id_type, in_batches
 
 Q = 7
 RATE = 0.10
-MIN_CHARS = 40
 BLOCK = 4_000_000
 PIECE = 2_000_000
 _BITS = 22
@@ -64,7 +66,7 @@ class Index:
     """The q-grams of a block of items with where they occur, and each item's budget, threshold and band width."""
 
     def __init__(self, items: list[tuple[object, str]], rate: float = RATE):
-        self.items = [(i, t) for i, x in items if len(t := normalised(x)) >= MIN_CHARS]
+        self.items = [(i, t) for i, x in items if (t := normalised(x))]
         m = np.array([len(t) for _, t in self.items], np.int64)
         self.budget = np.minimum((m * rate).astype(np.int64), np.maximum(0, (m - Q + 1 - 8) // Q))
         self.least = m - Q + 1 - Q * self.budget
@@ -76,6 +78,10 @@ class Index:
         order = np.argsort(every, kind="stable")
         self.item, self.place = owner[order].astype(np.int32), place[order].astype(np.int32)
         self.grams, self.first, self.count = np.unique(every[order], return_index=True, return_counts=True)
+        self.short: dict[int, dict[str, list[int]]] = {}  # items without a q-gram by length and text
+        for i, (_, t) in enumerate(self.items):
+            if len(t) < Q:
+                self.short.setdefault(len(t), {}).setdefault(t, []).append(i)
         self.seen = np.zeros(1 << _BITS, bool)
         self.seen[_slot(self.grams)] = True
 
@@ -114,6 +120,20 @@ class Index:
             if _spread(places, diagonals, int(self.stride[i])) >= self.least[i]:
                 yield d, i, (band_no - 1) * int(self.stride[i]) - longest
 
+    def exact(self, texts: list[str]) -> Iterator[tuple[int, int, int, int]]:
+        """(document, item, start, end) of each place of an item of fewer than Q characters."""
+        if not self.short:
+            return
+        joined = "\x00".join(texts)
+        starts = np.cumsum([0, *[len(t) + 1 for t in texts]])[: len(texts)]
+        c = codes(joined)
+        for n, items in self.short.items():
+            for at in np.flatnonzero(np.isin(grams(c, n), np.concatenate([grams(codes(t), n) for t in items]))).tolist():
+                d = int(np.searchsorted(starts, at, side="right")) - 1
+                a = at - int(starts[d])
+                for i in items.get(texts[d][a : a + n], ()):
+                    yield d, i, a, a + n
+
     def matches(self, texts: list[str]) -> list[tuple[int, object, int, int, int, int]]:
         """(document, item id, start, end, distance, budget) in the normalised texts, the nearest of touching regions.
 
@@ -155,7 +175,8 @@ class Index:
                 start = end - back[1]
             key = (d, i, (a + end) // max(1, len(item) // 2))
             found[key] = min(found.get(key, (10**9, 0, 0)), (distance, a + start, a + end))
-        return [(d, self.items[i][0], start, end, distance, int(self.budget[i]), i) for (d, i, _), (distance, start, end) in found.items()]
+        short = [(d, self.items[i][0], start, end, 0, 0, i) for d, i, start, end in self.exact(texts)]
+        return short + [(d, self.items[i][0], start, end, distance, int(self.budget[i]), i) for (d, i, _), (distance, start, end) in found.items()]
 
 
 def _apart(found: set) -> list[tuple]:

@@ -171,6 +171,15 @@ def test_decontamination_finds_what_is_within_budget(spark, folder):
     assert want
 
 
+def test_short_items_are_found(spark):
+    items = [(1, "Who wrote the iliad?"), (2, "2 + 2?"), (3, "wrote t"), (4, "why is the sky blue at noon?"), (5, " "), (6, "2 +  2?")]
+    docs = [(1, "Q: who  wrote the Iliad? A: Homer"), (2, "So 2 + 2? and 2 + 2? Yes"), (3, "he wrote to her"), (4, "why is the sky blu at noon?"), (5, "2+2"), (6, None)]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = sorted((r.doc_id, r.item_id, r.start, r.end, r.distance, r.budget) for r in decontaminate.matches(df, bench).collect())
+    assert got == [(1, 1, 3, 23, 0, 0), (1, 3, 7, 14, 0, 0), (2, 2, 3, 9, 0, 0), (2, 2, 14, 20, 0, 0), (2, 6, 3, 9, 0, 0), (2, 6, 14, 20, 0, 0), (3, 3, 3, 10, 0, 0), (4, 4, 0, 27, 1, 2)]
+    assert [r.doc_id for r in decontaminate.clean(df, bench).collect()] == [5, 6]
+
+
 # -- 4
 
 
