@@ -303,6 +303,19 @@ def test_licenses(spark, docs):
             assert want <= found[r.doc_id]
 
 
+def test_wrapped_licenses(spark, docs):
+    import textwrap
+
+    long = [(f, t) for f, some in licenses.TEMPLATES.items() for t in some if len(t) > 85]
+    cases = [(f, t, w, mark, pre) for f, t in long for w in (70, 76, 80) for mark in ("", " * ") for pre in ("", "Some words first.\n")]
+    rows = [(30_000 + i, f, pre + "\n".join(mark + x for x in textwrap.wrap(t, w)) + "\n\nand more of it") for i, (f, t, w, mark, pre) in enumerate(cases)]
+    extra = spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id long, text string")
+    found = defaultdict(set)
+    for r in licenses.scan(docs.select("doc_id", "text").unionByName(extra)).where("confirmed").collect():
+        found[r.doc_id].add(r.family)
+    assert [(f, t, found[i]) for i, f, t in rows if f not in found[i]] == []
+
+
 def test_every_template_has_a_cue():
     assert all(re.search(licenses.CUES, t, re.I) for some in licenses.TEMPLATES.values() for t in some if "SPDX" not in t and "CC BY" not in t and "Source Code Form" not in t) and all(re.search(licenses.CUES, t, re.I) for some in licenses.TEMPLATES.values() for t in some)
 
