@@ -1,24 +1,44 @@
 """Quality rules and robust multivariate outliers, in native expressions.
 
 Every text gets word and line statistics in one row-local pass; transformed ratios of them form a vector, and for each
-language and source a minimum-covariance-determinant estimate (concentration steps on the closest half of the rows until
-the determinant stops falling, then a reweighting by distance) gives the centre and the scatter against which the row's
-squared Mahalanobis distance is judged. Junk of up to nearly half of a group's rows does not move it.
+language and source a minimum-covariance-determinant estimate gives the centre and the scatter against which the row's
+squared Mahalanobis distance is judged. It is sought from three starts (medians with median deviations, mean with
+covariance, medians with the scatter of directions) by concentration steps on the closest half of the distinct vectors;
+after two steps the start with the least determinant goes on until it stops falling, then all rows but far ones are
+taken. Junk of up to nearly half of a group's distinct vectors does not move it.
+
+The vector's parts vary in clean prose, so their scatter comes from the data: mean word length, signs per character,
+variety of words and share of short words, each with ``PRIOR`` words of usual prose added so that short texts, whose
+ratios are noise, lie near the middle. A least standard deviation of ``LEAST`` only keeps matrices regular.
+
+A group's estimate is drawn towards the one over all rows with the weight of ``SHRINK`` rows, so that small groups need
+no rule of their own; a twentieth of the overall scatter is always in it, so that a group of near copies is no point.
 
 Defined results: null or empty text has no words, so the base rule fails it; null language or source is a group of its
-own; groups under ``min_group`` rows are judged by the estimate over all rows; repeated rows and ties are each judged
-alike; an empty table gives an empty result; further columns pass through untouched, whatever their names.
+own; repeated rows are judged alike and count once in the estimates; a table with fewer than five distinct vectors for
+each part of the vector defines no estimate, so only the base rules reject there; an empty table gives an empty result;
+further columns pass through untouched, whatever their names.
 """
 
 from __future__ import annotations
 
+from math import exp, factorial
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foldspar.llm.common import NOT_SPACE, materialise, text_or_empty, words
 
-#: Names of the vector's parts and the least standard deviation granted to each.
-PARTS = {"word_length": 0.15, "symbols": 0.05, "dup_lines": 0.15, "repeats": 0.10}
+#: The vector's parts.
+PARTS = ("word_length", "signs", "variety", "short_words")
+#: Words of usual prose that are added to each text, and their characters, signs a character and share of short words.
+PRIOR, PRIOR_CHARS, PRIOR_SIGNS, PRIOR_SHORT = 100, 5.0, 0.03, 0.3
+PRIOR_SIZE = 20
+LEAST = 1e-3
+SHRINK, ALWAYS = 50, 0.05
+STARTS = 3
+#: Longest word that counts as short.
+SHORT = 3
 SYMBOLS = r"[#*$%&|<>]"
 LONGEST = 2**30
 D = len(PARTS)
@@ -26,8 +46,6 @@ D = len(PARTS)
 
 def chi_square(tail: float, d: int = D) -> float:
     """Upper quantile of the chi-square distribution with an even number of degrees of freedom, by bisection."""
-    from math import exp, factorial
-
     upper = lambda x: exp(-x / 2) * sum((x / 2) ** i / factorial(i) for i in range(d // 2))
     low, high = 0.0, 2000.0
     for _ in range(80):
@@ -37,12 +55,14 @@ def chi_square(tail: float, d: int = D) -> float:
 
 
 def with_statistics(df: DataFrame, text: str = "text", prefix: str = "") -> DataFrame:
-    """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, their names after prefix."""
+    """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_signs, n_short, n_distinct, their names after prefix."""
     p, t = f"{prefix}_s_", text_or_empty(text)
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(NOT_SPACE))
     df = df.withColumns({f"{p}w": words(t), f"{p}l": lines})
     w = F.col(f"{p}w")
-    windows = F.transform(w, lambda x: F.xxhash64(x))
+    df = df.withColumn(f"{p}h", F.transform(w, lambda x: F.xxhash64(x)))
+    windows = F.col(f"{p}h")
+    df = df.withColumn(f"{p}d", F.size(F.array_distinct(windows)))
     for span in (1, 2, 4):  # a hash of 2, 4, then 8 words from each place on
         windows = F.zip_with(windows, F.slice(windows, span + 1, LONGEST), lambda a, b: F.xxhash64(a, b))
         df = df.withColumn(f"{p}h", windows)
@@ -51,16 +71,19 @@ def with_statistics(df: DataFrame, text: str = "text", prefix: str = "") -> Data
     h = F.col(f"{p}h")
     repeated = F.size(F.array_distinct(h)) < F.size(h)
     df = df.withColumn(f"{p}r", F.when(repeated, _covered(h)).otherwise(F.lit(0)).cast("long"))
+    df = df.withColumn(f"{p}j", F.array_join(w, ""))
     return df.withColumns(
         {
             f"{prefix}n_words": F.size(w).cast("long"),
-            f"{prefix}word_chars": F.length(F.array_join(w, "")).cast("long"),
+            f"{prefix}word_chars": F.length(f"{p}j").cast("long"),
             f"{prefix}n_symbols": F.regexp_count(t, F.lit(SYMBOLS)).cast("long"),
             f"{prefix}n_dup_lines": (F.size(f"{p}l") - F.size(F.array_distinct(f"{p}l"))).cast("long"),
-            f"{prefix}n_lines": F.size(f"{p}l").cast("long"),
             f"{prefix}n_repeat_words": F.col(f"{p}r"),
+            f"{prefix}n_signs": F.length(F.regexp_replace(f"{p}j", r"[\p{L}\p{M}\p{N}]+", "")).cast("long"),
+            f"{prefix}n_short": F.size(F.filter(w, lambda x: F.length(x) <= SHORT)).cast("long"),
+            f"{prefix}n_distinct": F.col(f"{p}d").cast("long"),
         }
-    ).drop(*(f"{p}{x}" for x in "wlhr"))
+    ).drop(*(f"{p}{x}" for x in "wlhrdj"))
 
 
 def _covered(h: Column) -> Column:
@@ -81,12 +104,12 @@ def _covered(h: Column) -> Column:
 
 def _vector(prefix: str) -> dict[str, Column]:
     c = lambda x: F.col(f"{prefix}{x}").cast("double")
-    some = F.greatest(c("n_words"), F.lit(1.0))
+    n, chars = c("n_words") + float(PRIOR), c("word_chars") + PRIOR * PRIOR_CHARS
     return {
-        "word_length": F.log(F.greatest(c("word_chars"), F.lit(1.0)) / some),
-        "symbols": F.sqrt(c("n_symbols") / F.greatest(c("word_chars"), F.lit(1.0))),
-        "dup_lines": F.sqrt(c("n_dup_lines") / F.greatest(c("n_lines"), F.lit(1.0))),
-        "repeats": c("n_repeat_words") / some,
+        "word_length": F.log(chars / n),
+        "signs": F.log((c("n_signs") + PRIOR * PRIOR_CHARS * PRIOR_SIGNS) / chars),
+        "variety": F.log(c("n_distinct") + float(PRIOR_SIZE)) / F.log(c("n_words") + float(PRIOR_SIZE)),
+        "short_words": (c("n_short") + PRIOR * PRIOR_SHORT) / n,
     }
 
 
@@ -101,17 +124,20 @@ def _distance(x: list[Column], estimate: str) -> Column:
     return total
 
 
-def _factored(df: DataFrame, scale: float) -> DataFrame:
-    """From means m and mean products s to the inverse Cholesky factor of scale * covariance + floors."""
-    floors = list(PARTS.values())
-    cov = {(i, j): (F.col("s")[i * D + j] - F.col("m")[i] * F.col("m")[j]) * F.lit(scale) + F.lit(floors[i] ** 2 if i == j else 0.0) for i in range(D) for j in range(i + 1)}
+def _scatter(m: Column, s: Column, scale: float) -> Column:
+    """From means m and mean products s the scaled covariance with the least variances on its diagonal."""
+    return F.array(*[(s[i * D + j] - m[i] * m[j]) * F.lit(scale) + F.lit(LEAST**2 if i == j else 0.0) for i in range(D) for j in range(D)])
+
+
+def _factored(df: DataFrame) -> DataFrame:
+    """Adds e, a struct of the columns m and c (the scatter) and the inverse of c's Cholesky factor, v; and det, c's determinant."""
     low: dict = {}
     for i in range(D):
         for j in range(i + 1):
-            value = cov[i, j]
+            value = F.col("c")[i * D + j]
             for k in range(j):
                 value = value - low[i, k] * low[j, k]
-            df = df.withColumn(f"l{i}{j}", F.sqrt(F.greatest(value, F.lit(1e-9))) if i == j else value / low[j, j])
+            df = df.withColumn(f"l{i}{j}", F.sqrt(F.greatest(value, F.lit(1e-12))) if i == j else value / low[j, j])
             low[i, j] = F.col(f"l{i}{j}")
     inverse: dict = {}
     for j in range(D):
@@ -122,62 +148,67 @@ def _factored(df: DataFrame, scale: float) -> DataFrame:
             df = df.withColumn(f"v{i}{j}", value / low[i, i])
             inverse[i, j] = F.col(f"v{i}{j}")
     v = F.array(*[inverse.get((i, j), F.lit(0.0)) for i in range(D) for j in range(D)])
-    return df.withColumn("e", F.struct(F.col("m"), v.alias("v")))
+    det = F.lit(1.0)
+    for i in range(D):
+        det = det * low[i, i] * low[i, i]
+    return df.withColumns({"e": F.struct("m", "c", v.alias("v")), "det": det})
 
 
 def estimates(vectors: DataFrame, keys: list[str], keep: float = 0.5, reweight: float = 0.025) -> DataFrame:
-    """MCD estimate e of each group of keys over the columns x0.. of vectors; n is the group's rows.
+    """MCD estimate e (m, c, v) of each group of keys over the columns x0.. of vectors; n is the group's rows.
 
-    Started from the medians and median deviations, each step keeps the share ``keep`` of a group's rows that lie
-    closest and takes their mean and covariance anew, until no group's determinant falls by a hundredth any more (it
-    cannot fall for ever, as the floors bound it). A last step takes all rows but those beyond the upper quantile
-    ``reweight`` of the estimate. Groups are only ever aggregated, so a hot one is pre-aggregated where its rows lie.
+    Each step keeps the share ``keep`` of a group's rows that lie closest and takes their mean and covariance anew; a
+    step cannot raise the determinant, and the steps end when none falls by a twentieth any more. A last step takes all
+    rows but those beyond the upper quantile ``reweight`` of the estimate. Groups are only ever aggregated, so a hot one
+    is pre-aggregated where its rows lie.
     """
     x = [F.col(f"x{i}") for i in range(D)]
+    g = [f"g_{k}" for k in keys]
     same = lambda a, b: _all(a[k].eqNullSafe(b[f"g_{k}"]) for k in keys)
-    named = lambda df: df.select(*[F.col(k).alias(f"g_{k}") for k in keys], "e", "n")
-    medians = vectors.groupBy(*keys).agg(F.array(*[F.percentile_approx(c, 0.5, 1000) for c in x]).alias("m"), F.count(F.lit(1)).alias("n"))
+    products = lambda y: F.array(*[F.avg(a * b) for a in y for b in y])
+    middle = lambda c: F.percentile_approx(c, 0.5, 10_000)
+    medians = vectors.groupBy(*keys).agg(F.array(*[middle(c) for c in x]).alias("m"), F.count(F.lit(1)).alias("n"))
     m = materialise(medians.select(*[F.col(k).alias(f"g_{k}") for k in keys], "m", "n"), "mcd-medians")
-    off = vectors.join(m, same(vectors, m)).groupBy(*[f"g_{k}" for k in keys]).agg(
-        F.first("m").alias("m"), F.first("n").alias("n"), F.array(*[F.percentile_approx(F.abs(x[i] - F.col("m")[i]), 0.5, 1000) for i in range(D)]).alias("mad")
+    off = vectors.join(m, same(vectors, m)).groupBy(*g).agg(F.first("m").alias("m"), F.first("n").alias("n"), F.array(*[middle(F.abs(x[i] - F.col("m")[i])) for i in range(D)]).alias("mad"))
+    off = materialise(off.withColumn("mad", F.transform("mad", lambda y: F.greatest(y * 1.4826, F.lit(LEAST)))), "mcd-deviations")
+
+    z = [(x[i] - F.col("m")[i]) / F.col("mad")[i] for i in range(D)]
+    far = F.sqrt(sum((y * y for y in z), F.lit(1e-12)))
+    moved = vectors.join(off, same(vectors, off)).groupBy(*g).agg(
+        F.first("m").alias("m"), F.first("n").alias("n"), F.first("mad").alias("mad"), F.array(*[F.avg(c) for c in x]).alias("mean"), products(x).alias("s"), products([y / far for y in z]).alias("u")
     )
-    s = F.array(*[F.col("m")[i] * F.col("m")[j] + (F.pow(F.col("mad")[i] * 1.4826, F.lit(2.0)) if i == j else F.lit(0.0)) for i in range(D) for j in range(D)])
-    start = _factored(off.withColumn("s", s), 1.0)
-    # the first step may raise the determinant, as the start is no step's outcome
-    e = materialise(start.select(*[F.col(f"g_{k}") for k in keys], "e", "n", F.lit(float("inf")).alias("det")), "mcd-start")
+    at = lambda i, j: F.col("mad")[i] * F.col("mad")[j]
+    plain = F.array(*[at(i, j) if i == j else F.lit(0.0) for i in range(D) for j in range(D)])
+    turned = F.array(*[F.col("u")[i * D + j] * at(i, j) * D + F.lit(LEAST**2 if i == j else 0.0) for i in range(D) for j in range(D)])
+    starts = F.array(F.struct(F.col("m"), plain.alias("c")), F.struct(F.col("mean").alias("m"), _scatter(F.col("mean"), F.col("s"), 1.0).alias("c")), F.struct(F.col("m"), turned.alias("c")))
+    begun = moved.select(*g, "n", F.posexplode(starts).alias("start", "p")).select(*g, "n", "start", "p.m", "p.c")
+    # a start's determinant is no step's outcome, so the first step may raise it
+    e = materialise(_factored(begun).select(*g, "n", "start", "e", F.lit(float("inf")).alias("det")), "mcd-start")
 
     def stepped(cut: DataFrame, scale: float) -> DataFrame:
         kept = vectors.join(cut, same(vectors, cut)).where(_distance(x, "e") <= F.col("cut"))
-        new = kept.groupBy(*keys).agg(
-            F.array(*[F.avg(c) for c in x]).alias("m"), F.array(*[F.avg(a * b) for a in x for b in x]).alias("s"), F.first("n").alias("n"), F.first("det").alias("was")
-        )
-        return _factored(new, scale)
+        new = kept.groupBy(*g, "start").agg(F.array(*[F.avg(c) for c in x]).alias("m"), products(x).alias("s"), F.first("n").alias("n"), F.first("det").alias("was"))
+        return _factored(new.withColumn("c", _scatter(F.col("m"), F.col("s"), scale)))
 
-    falling = True
+    steps, falling = 0, True
     while falling:
         near = vectors.join(e, same(vectors, e)).withColumn("d2", _distance(x, "e"))
-        cut = near.groupBy(*keys).agg(F.percentile_approx("d2", keep, 2000).alias("cut"), F.first("e").alias("e"), F.first("n").alias("n"), F.first("det").alias("det"))
-        cut = materialise(cut.select(*[F.col(k).alias(f"g_{k}") for k in keys], "cut", "e", "n", "det"), "mcd-cut")
-        new = stepped(cut, consistency(keep)).withColumn("fell", F.coalesce(_determinant() < 0.99 * F.col("was"), F.lit(False)))
+        cut = near.groupBy(*g, "start").agg(F.percentile_approx("d2", keep, 10_000).alias("cut"), F.first("e").alias("e"), F.first("n").alias("n"), F.first("det").alias("det"))
+        new = stepped(materialise(cut, "mcd-cut"), consistency(keep))
         # det is the least so far, so each further step needs a group that falls below all its former ones
-        new = new.select(*[F.col(k).alias(f"g_{k}") for k in keys], "e", "n", F.least(_determinant(), F.col("was")).alias("det"), "fell")
+        new = new.select(*g, "n", "start", "e", F.least("det", "was").alias("det"), F.coalesce(F.col("det") < 0.95 * F.col("was"), F.lit(False)).alias("fell"))
+        steps += 1
+        if steps == 2:
+            best = F.min_by(F.struct("start", "e", "fell"), F.struct("det", "start"))
+            new = new.groupBy(*g, "n").agg(best.alias("b"), F.min("det").alias("det")).select(*g, "n", "b.start", "b.e", "det", F.lit(True).alias("fell"))
         e = materialise(new, "mcd-step")
         falling = not e.where("fell").isEmpty()
-    return materialise(named(stepped(e.withColumn("cut", F.lit(chi_square(reweight))), consistency(1 - reweight))), "mcd-reweighted")
-
-
-def _determinant() -> Column:
-    """Of the scatter that _factored has just made, from its Cholesky factor."""
-    out = F.lit(1.0)
-    for i in range(D):
-        out = out * F.col(f"l{i}{i}") * F.col(f"l{i}{i}")
-    return out
+    last = stepped(e.withColumn("cut", F.lit(chi_square(reweight))), consistency(1 - reweight))
+    return materialise(last.select(*g, "e", "n"), "mcd-reweighted")
 
 
 def consistency(keep: float) -> float:
     """By it the covariance of the closest share keep of a normal sample in D dimensions is scaled."""
-    from math import exp, factorial
-
     half = chi_square(1 - keep) / 2
     return keep / (1 - exp(-half) * sum(half**i / factorial(i) for i in range(D // 2 + 1)))
 
@@ -189,36 +220,45 @@ def _all(conditions):
     return out
 
 
-def judge(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", min_words: int = 20, max_repeat_percent: int = 30, tail: float = 1e-7, min_group: int = 50, prefix: str = "fq_", keep_text: bool = True) -> DataFrame:
+def drawn(groups: DataFrame, overall) -> DataFrame:
+    """groups with e drawn towards the row overall's e: by SHRINK rows, and by the share ALWAYS of the scatter at least."""
+    if overall is None or overall["n"] < 5 * D:
+        return groups.withColumn("e", F.lit(None).cast(groups.schema["e"].dataType))
+    m0, c0 = (F.array(*[F.lit(y) for y in overall["e"][k]]) for k in "mc")
+    by = F.lit(float(SHRINK)) / (F.col("n") + SHRINK)
+    more = F.greatest(by, F.lit(ALWAYS))
+    m = F.zip_with(F.col("e.m"), m0, lambda a, b: a + by * (b - a))
+    c = F.zip_with(F.col("e.c"), c0, lambda a, b: a + more * (b - a))
+    return _factored(groups.withColumns({"m": m, "c": c}))
+
+
+def judge(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", min_words: int = 20, max_repeat_percent: int = 30, tail: float = 1e-7, prefix: str = "fq_", keep_text: bool = True) -> DataFrame:
     """df (without its text unless keep_text) with the statistics, base_failed, distance and kept, their names after prefix.
 
-    The texts are read once: df with its statistics is written to the shared folder, the estimates are made from the
-    narrow columns of that table, and the verdict is a join of it with the few estimates on language and source.
+    A row is rejected if a normal vector would lie as far with the probability ``tail`` only. The texts are read once:
+    df with its statistics is written to the shared folder, the estimates are made from the narrow columns of that
+    table, and the verdict is a join of it with the few estimates on language and source. Rows that the base rules fail
+    are not estimated from.
     """
     p = prefix
     rows = with_statistics(df, text, p)
-    rows = rows.withColumns({f"{p}x{i}": c for i, c in enumerate(_vector(p).values())})
+    failed = (F.col(f"{p}n_words") < min_words) | (100 * F.col(f"{p}n_repeat_words") > max_repeat_percent * F.col(f"{p}n_words"))
+    rows = rows.withColumns({f"{p}base_failed": failed} | {f"{p}x{i}": c for i, c in enumerate(_vector(p).values())})
     rows = materialise(rows if keep_text else rows.drop(text), "quality-statistics")
+    xs = [F.col(f"{p}x{i}").alias(f"x{i}") for i in range(D)]
     own = F.struct(F.col(lang).alias("lang"), F.col(source).alias("source"), F.lit(False).alias("whole"))
     every = F.struct(F.lit(None).cast("string").alias("lang"), F.lit(None).cast("string").alias("source"), F.lit(True).alias("whole"))
-    narrow = rows.where(F.col(f"{p}n_words") >= min_words).select(F.explode(F.array(own, every)).alias("g"), *[F.col(f"{p}x{i}").alias(f"x{i}") for i in range(D)])
-    found = estimates(narrow.select("g.*", *[f"x{i}" for i in range(D)]), ["lang", "source", "whole"])
-    groups = found.where(~F.col("g_whole") & (F.col("n") >= min_group))
-    groups = groups.select(F.col("g_lang").alias(f"{p}g_lang"), F.col("g_source").alias(f"{p}g_source"), F.col("e").alias(f"{p}e"))
-    same = F.col(lang).eqNullSafe(F.col(f"{p}g_lang")) & F.col(source).eqNullSafe(F.col(f"{p}g_source"))
+    narrow = rows.where(~F.col(f"{p}base_failed")).select(F.col(lang).cast("string").alias(lang), F.col(source).cast("string").alias(source), *xs).distinct()
+    narrow = narrow.select(F.explode(F.array(own, every)).alias("g"), *[f"x{i}" for i in range(D)])
+    vectors = materialise(narrow.select("g.*", *[f"x{i}" for i in range(D)]), "quality-vectors")
+    found = estimates(vectors, ["lang", "source", "whole"])
+    overall = found.where("g_whole").first()
+    groups = materialise(drawn(found.where(~F.col("g_whole")), overall).select(F.col("g_lang").alias(f"{p}g_lang"), F.col("g_source").alias(f"{p}g_source"), F.col("e").alias(f"{p}e")), "quality-estimates")
+    same = F.col(lang).cast("string").eqNullSafe(F.col(f"{p}g_lang")) & F.col(source).cast("string").eqNullSafe(F.col(f"{p}g_source"))
     rows = rows.join(groups, same, "left").drop(f"{p}g_lang", f"{p}g_source")
-    rows = rows.withColumn(f"{p}e", F.coalesce(f"{p}e", _literal(found.where("g_whole").first())))
-    failed = (F.col(f"{p}n_words") < min_words) | (100 * F.col(f"{p}n_repeat_words") > max_repeat_percent * F.col(f"{p}n_words"))
-    rows = rows.withColumns({f"{p}base_failed": failed, f"{p}distance": _distance([F.col(f"{p}x{i}") for i in range(D)], f"{p}e")})
+    rows = rows.withColumn(f"{p}distance", _distance([F.col(f"{p}x{i}") for i in range(D)], f"{p}e"))
     far = F.coalesce(F.col(f"{p}distance") > chi_square(tail), F.lit(False))
-    return rows.withColumn(f"{p}kept", ~failed & ~far).drop(f"{p}e", *[f"{p}x{i}" for i in range(D)])
-
-
-def _literal(row) -> Column:
-    """The estimate of a row (one over all rows: twenty numbers) as a literal; null if there is none."""
-    if row is None:
-        return F.lit(None).cast("struct<m:array<double>,v:array<double>>")
-    return F.struct(*[F.array(*[F.lit(x) for x in row["e"][k]]).alias(k) for k in "mv"])
+    return rows.withColumn(f"{p}kept", ~F.col(f"{p}base_failed") & ~far).drop(f"{p}e", *[f"{p}x{i}" for i in range(D)])
 
 
 def documents_judged(docs: DataFrame) -> DataFrame:

@@ -362,32 +362,7 @@ def test_quality_statistics_against_brute_force(spark, folder, texts):
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
     judged = [r for r in rows if not r.base_failed and r.doc_id in labels]
     assert all(r.kept for r in judged if labels[r.doc_id] == 1)
-    assert np.mean([not r.kept for r in judged if labels[r.doc_id] == 0] or [1]) > 0.5
-
-
-def test_mcd_is_robust(spark):
-    rng = np.random.default_rng(0)
-    clean, junk = rng.normal([1.8, 0, 0, 0], [0.1, 0.01, 0.01, 0.01], (800, 4)), rng.normal([3, 1, 1, 1], 0.01, (150, 4))
-    df = spark.createDataFrame([("g", *map(float, x)) for x in np.concatenate([clean, junk])], "g string, x0 double, x1 double, x2 double, x3 double")
-    e = quality_rules.estimates(df, ["g"]).first()["e"]
-    assert np.abs(np.array(e["m"]) - clean.mean(axis=0)).max() < 0.03
-    v = np.array(e["v"]).reshape(4, 4)
-    cov = np.linalg.inv(v.T @ v)
-    floors = np.array(list(quality_rules.PARTS.values())) ** 2
-    assert 0.5 < (cov[0, 0] - floors[0]) / 0.01 < 2 and abs(quality_rules.chi_square(0.05) - 9.488) < 0.01
-
-
-@pytest.mark.parametrize("share", [0.3, 0.4, 0.45])
-def test_junk_of_nearly_half_a_group_is_rejected(spark, share):
-    rng = np.random.default_rng(3)
-    n = int(2000 * share)
-    clean = np.column_stack([rng.normal(1.6, 0.1, 2000 - n), rng.uniform(0, 0.1, 2000 - n), np.zeros((2000 - n, 2))])
-    junk = np.column_stack([rng.normal(1.2, 0.3, n), rng.uniform(0.7, 0.95, n), rng.uniform(0, 0.3, (n, 2))])
-    df = spark.createDataFrame([("g", *map(float, x)) for x in np.concatenate([clean, junk])], "g string, x0 double, x1 double, x2 double, x3 double")
-    e = quality_rules.estimates(df, ["g"]).first()["e"]
-    d2 = lambda x: (((x - np.array(e["m"])) @ np.array(e["v"]).reshape(4, 4).T) ** 2).sum(axis=1)
-    cut = quality_rules.chi_square(1e-7)
-    assert (d2(junk) > cut).all() and (d2(clean) <= cut).all() and abs(quality_rules.consistency(0.75) - 1.487) < 0.001
+    assert np.mean([not r.kept for r in judged if labels[r.doc_id] == 0] or [1]) > 0.9
 
 
 # -- 10
