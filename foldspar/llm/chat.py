@@ -1,16 +1,19 @@
 """Chat formatting with cumulative-snapshot collapse, in native expressions.
 
-A chat log often holds a conversation several times, each snapshot longer by a few turns. Every turn gets a 128-bit
-hash of its ordinal, role and text; the running exclusive-or of these within a conversation is a rolling hash of each
-turn prefix. A conversation whose full hash is a proper prefix's hash in another is dropped by an anti-join, and of equal
-conversations the smallest conv_id stays. What is left is rendered.
-
-Long conversations are cut into blocks of ``BLOCK`` turn numbers: running values are formed in each block and then over
-the blocks, and each block is rendered as a part of its own, so no task gathers a conversation of any length.
-
-Defined results: turns go by turn number (null first), then role, then a hash of role and text; rows equal in all four columns count once;
-null role or text renders as empty; rows with null conv_id form one conversation; an empty table gives no rows; other
-columns are ignored. Markers inside a text are broken up so that they cannot open or close a turn.
+A chat log often holds a conversation several times, each snapshot longer by a few turns. Every turn gets its ordinal in
+the conversation and a 128-bit hash of that, its role and its text; the running exclusive-or of these is a rolling hash
+of each turn prefix. A conversation whose full hash is a proper prefix's hash in another is dropped by an anti-join, and
+of equal conversations the smallest conv_id stays. What is left is rendered.
+
+Ordinals come from one range sort of all turns without their texts, which splits a conversation of any length, whatever
+its turn numbers: a turn's place in its partition and the counts of the partitions before it. Running values are formed in
+blocks of ``BLOCK`` ordinals and then over the blocks, and each block is rendered as a part of its own, so no task gathers
+a conversation, a null turn number or a null conv_id as a whole.
+
+Defined results: turns go by turn number (null first), then role (null first), then the MD5 of the text (null first);
+rows equal in all four columns count once; null role or text renders as empty; rows with null conv_id form one
+conversation; an empty table gives no rows; other columns are ignored. Markers inside a text are broken up so that they
+cannot open or close a turn.
 """
 
 from __future__ import annotations
@@ -22,54 +25,58 @@ from foldspar.llm.common import materialise
 
 BLOCK = 256
 START, END = "<|im_start|>", "<|im_end|>"
-ORDER = ["turn", "role", "x", "y"]
-
-
-def _block() -> Column:
-    return F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-(2**62))).cast("long")
+ORDER = ["conv_id", "turn", "role", "m"]
+_PLACES = (1 << 33) - 1  # the part of monotonically_increasing_id() that counts within a partition
 
 
-def _hashes() -> list[Column]:
-    told = F.concat_ws("\x01", F.coalesce("role", F.lit("\x02")), F.coalesce("text", F.lit("\x02")))
-    return [F.xxhash64("role", F.lit(1), "text").alias("x"), F.xxhash64(F.sha2(told, 256)).alias("y")]
+def _known(c: str) -> Column:
+    """The column as text that tells null from empty."""
+    return F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("null"))
 
 
-def _turns(conversations: DataFrame) -> DataFrame:
-    """Each distinct turn without its text: conv_id, block, turn, role and two hashes, written once."""
-    return materialise(conversations.select("conv_id", _block().alias("block"), "turn", "role", *_hashes()).dropDuplicates(), "chat-turns")
+def _key() -> list[Column]:
+    """128 bits that name a turn: its conversation, number, role and text's MD5."""
+    told = [_known(c) for c in ORDER]
+    return [F.xxhash64(*told).alias("ka"), F.xxhash64(*reversed(told), F.lit(1)).alias("kb")]
 
 
-def _in_block():
-    return Window.partitionBy("conv_id", "block").orderBy(*[F.asc_nulls_first(c) for c in ORDER]).rowsBetween(Window.unboundedPreceding, 0)
+def _hashed(conversations: DataFrame) -> DataFrame:
+    return conversations.select("conv_id", "turn", "role", F.md5(F.col("text").cast("binary")).alias("m"), "text")
 
 
-def _blocks_before(rows: DataFrame, **sums: Column) -> DataFrame:
-    """For each block the aggregates of the blocks before it in its conversation."""
-    before = Window.partitionBy("b_conv").orderBy("b_block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = rows.groupBy(F.col("conv_id").alias("b_conv"), F.col("block").alias("b_block")).agg(*[c.alias(k) for k, c in sums.items()])
-    run = {k: F.coalesce((F.sum if k == "before" else F.bit_xor)(k).over(before), F.lit(0)) for k in sums}
-    return blocks.select("b_conv", "b_block", *[c.alias(k) for k, c in run.items()])
+def _turns(conversations: DataFrame) -> DataFrame:
+    """Each distinct turn without its text, with its ordinal n in its conversation and the block of that."""
+    rows = _hashed(conversations).select(*ORDER).dropDuplicates()
+    rows = rows.repartitionByRange(*[F.asc_nulls_first(c) for c in ORDER]).sortWithinPartitions(*[F.asc_nulls_first(c) for c in ORDER])
+    place = F.monotonically_increasing_id()
+    rows = materialise(rows.withColumn("at", place).withColumns({"slice": F.shiftright("at", 33), "at": F.col("at").bitwiseAND(F.lit(_PLACES))}), "chat-turns")
+    slices = rows.groupBy(F.col("conv_id").alias("s_conv"), F.col("slice").alias("s_slice")).agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("k"))
+    before = Window.partitionBy("s_conv").orderBy("s_slice").rowsBetween(Window.unboundedPreceding, -1)
+    slices = materialise(slices.select("s_conv", "s_slice", (F.coalesce(F.sum("k").over(before), F.lit(0)) - F.col("first") + 1).alias("shift")), "chat-slices")
+    rows = rows.join(slices, rows["conv_id"].eqNullSafe(slices["s_conv"]) & (rows["slice"] == slices["s_slice"]))
+    n = F.col("at") + F.col("shift")
+    return materialise(rows.select(*ORDER, n.alias("n"), F.floor((n - 1) / BLOCK).cast("long").alias("block")), "chat-ordinals")
 
 
 def prefixes(turns: DataFrame) -> DataFrame:
     """conv_id, n (turns in the prefix), a and b (its hash): a row for each prefix of each conversation."""
-    rows = turns.withColumn("i", F.row_number().over(_in_block()))
-    first = _blocks_before(rows, before=F.count(F.lit(1)))
-    rows = rows.join(first, rows["conv_id"].eqNullSafe(first["b_conv"]) & (rows["block"] == first["b_block"])).drop("b_conv", "b_block")
-    rows = rows.withColumn("n", F.col("before") + F.col("i"))
-    rows = rows.select("conv_id", "block", "n", F.xxhash64("n", "x").alias("a"), F.xxhash64("y", "n").alias("b"))
-    w = Window.partitionBy("conv_id", "block").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    rest = _blocks_before(rows, ra=F.bit_xor("a"), rb=F.bit_xor("b"))
-    rows = rows.withColumns({"a": F.bit_xor("a").over(w), "b": F.bit_xor("b").over(w)})
-    rows = rows.join(rest, rows["conv_id"].eqNullSafe(rest["b_conv"]) & (rows["block"] == rest["b_block"]))
+    told = [_known("role"), _known("m")]
+    rows = turns.select("conv_id", "block", "n", F.xxhash64("n", *told).alias("a"), F.xxhash64(*reversed(told), "n").alias("b"))
+    inside = Window.partitionBy("conv_id", "block").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy("b_conv").orderBy("b_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = rows.groupBy(F.col("conv_id").alias("b_conv"), F.col("block").alias("b_block")).agg(F.bit_xor("a").alias("ra"), F.bit_xor("b").alias("rb"))
+    blocks = blocks.select("b_conv", "b_block", *[F.coalesce(F.bit_xor(c).over(before), F.lit(0)).alias(c) for c in ("ra", "rb")])
+    blocks = materialise(blocks, "chat-blocks")
+    rows = rows.withColumns({"a": F.bit_xor("a").over(inside), "b": F.bit_xor("b").over(inside)})
+    rows = rows.join(blocks, rows["conv_id"].eqNullSafe(blocks["b_conv"]) & (rows["block"] == blocks["b_block"]))
     return rows.select("conv_id", "n", F.col("a").bitwiseXOR(F.col("ra")).alias("a"), F.col("b").bitwiseXOR(F.col("rb")).alias("b"))
 
 
 def maximal(turns: DataFrame) -> DataFrame:
     """conv_id and n_turns of the conversations that stay, and n_equal, how many were equal to it, itself included."""
-    p = materialise(prefixes(turns), "chat-prefixes")
-    length = materialise(p.groupBy(F.col("conv_id").alias("l_conv")).agg(F.max("n").alias("length")), "chat-length")
-    p = materialise(p.join(length, p["conv_id"].eqNullSafe(length["l_conv"])).drop("l_conv"), "chat-lengths")
+    length = materialise(turns.groupBy(F.col("conv_id").alias("l_conv")).agg(F.max("n").alias("length")), "chat-length")
+    p = prefixes(turns)
+    p = materialise(p.join(length, p["conv_id"].eqNullSafe(length["l_conv"])).drop("l_conv"), "chat-prefixes")
     whole = p.where("n = length").groupBy("n", "a", "b").agg(F.min("conv_id").alias("conv_id"), F.count(F.lit(1)).alias("n_equal"))
     proper = p.where("n < length").groupBy("n", "a", "b").agg(F.count(F.lit(1)).alias("k"))
     return whole.join(proper, ["n", "a", "b"], "left_anti").select("conv_id", F.col("n").alias("n_turns"), "n_equal")
@@ -83,38 +90,32 @@ def _clean(text: Column) -> Column:
 
 
 def render(conversations: DataFrame) -> DataFrame:
-    """conv_id, part, n_turns, n_equal and rendered: the maximal conversations in parts of BLOCK turn numbers each.
+    """conv_id, part, n_turns, n_equal and rendered: the maximal conversations in parts of BLOCK turns each.
 
-    Texts move once, to the block that they are rendered in.
+    Texts move to their turn's ordinal, repeated rows being one by then, and those that stay once more to their part.
     """
     turns = _turns(conversations)
     keep = materialise(maximal(turns).withColumnRenamed("conv_id", "m_conv"), "chat-kept")
-    blocks = turns.select("conv_id", "block").distinct()
-    blocks = blocks.join(keep, blocks["conv_id"].eqNullSafe(keep["m_conv"]))
-    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("block")).cast("long")
-    # a key without nulls, by which both the join and the groups are dealt
-    key = F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit("null"))
-    blocks = materialise(blocks.select(key.alias("k_key"), F.col("block").alias("k_block"), "n_turns", "n_equal", place.alias("part")), "chat-blocks")
-    rows = conversations.select(key.alias("key"), "conv_id", _block().alias("block"), "turn", "role", "text")
-    rows = rows.join(blocks, (rows["key"] == blocks["k_key"]) & (rows["block"] == blocks["k_block"]))
-    turn = F.struct("turn", "role", *_hashes(), "text")
-    same = [F.first(c).alias(c) for c in ("conv_id", "part", "n_turns", "n_equal")]
-    parts = rows.groupBy("key", "block").agg(F.sort_array(F.collect_set(turn)).alias("turns"), *same)
+    kept = turns.join(keep, turns["conv_id"].eqNullSafe(keep["m_conv"])).select(*_key(), "conv_id", "n", "block", "n_turns", "n_equal")
+    kept = materialise(kept, "chat-places")
+    texts = _hashed(conversations).select(*_key(), "role", "text").groupBy("ka", "kb").agg(F.first("role").alias("role"), F.first("text").alias("text"))
+    rows = texts.join(kept, ["ka", "kb"])
+    # a key without nulls, by which groups are dealt
+    same = [F.first(c).alias(c) for c in ("conv_id", "n_turns", "n_equal")]
+    parts = rows.groupBy(_known("conv_id").alias("key"), "block").agg(F.sort_array(F.collect_list(F.struct("n", "role", "text"))).alias("turns"), *same)
     one = lambda t: F.concat(F.lit(START), _clean(t["role"]), F.lit("\n"), _clean(t["text"]), F.lit(END + "\n"))
-    return parts.select("conv_id", "part", "n_turns", "n_equal", F.array_join(F.transform("turns", one), "").alias("rendered"))
+    return parts.select("conv_id", (F.col("block") + 1).alias("part"), "n_turns", "n_equal", F.array_join(F.transform("turns", one), "").alias("rendered"))
 
 
 ORACLE = r"""
-WITH t AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
-c AS (SELECT conv_id, count(*) AS n, list(struct_pack(r := role, x := text) ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS a FROM t GROUP BY conv_id),
+WITH d AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
+t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, md5(text) NULLS FIRST) AS i FROM d),
+c AS (SELECT conv_id, count(*) AS n, list(struct_pack(r := role, x := text) ORDER BY i) AS a FROM t GROUP BY conv_id),
 kept AS (
   SELECT a, n, min(conv_id) AS conv_id, count(*) AS n_equal FROM c
-  WHERE NOT EXISTS (SELECT 1 FROM c d WHERE d.n > c.n AND d.a[1:c.n] = c.a) GROUP BY a, n),
-parts AS (
-  SELECT t.conv_id, floor(turn / 256) AS block, max(n) AS n_turns, max(n_equal) AS n_equal,
-    string_agg('<|im_start|>' || replace(replace(coalesce(role, ''), '<|im_start|>', '< |im_start|>'), '<|im_end|>', '< |im_end|>') || chr(10)
-      || replace(replace(coalesce(text, ''), '<|im_start|>', '< |im_start|>'), '<|im_end|>', '< |im_end|>') || '<|im_end|>' || chr(10), ''
-      ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS rendered
-  FROM t JOIN kept ON t.conv_id IS NOT DISTINCT FROM kept.conv_id GROUP BY t.conv_id, floor(turn / 256))
-SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY block NULLS FIRST) AS part, n_turns, n_equal, rendered FROM parts
+  WHERE NOT EXISTS (SELECT 1 FROM c d WHERE d.n > c.n AND d.a[1:c.n] = c.a) GROUP BY a, n)
+SELECT t.conv_id, (i - 1) // 256 + 1 AS part, max(n) AS n_turns, max(n_equal) AS n_equal,
+  string_agg('<|im_start|>' || replace(replace(coalesce(role, ''), '<|im_start|>', '< |im_start|>'), '<|im_end|>', '< |im_end|>') || chr(10)
+    || replace(replace(coalesce(text, ''), '<|im_start|>', '< |im_start|>'), '<|im_end|>', '< |im_end|>') || '<|im_end|>' || chr(10), '' ORDER BY i) AS rendered
+FROM t JOIN kept ON t.conv_id IS NOT DISTINCT FROM kept.conv_id GROUP BY t.conv_id, (i - 1) // 256
 """

@@ -128,3 +128,20 @@ def test_long_chats_are_cut_and_still_collapse(spark):
     rows = chat.render(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).orderBy("part").collect()
     assert [(r.conv_id, r.part, r.n_turns) for r in rows] == [(1, k, 1000) for k in (1, 2, 3, 4)]
     assert "".join(r.rendered for r in rows).count("<|im_start|>") == 1000
+
+
+def test_chat_ties_and_null_keys_against_sql(spark):
+    import duckdb
+    import pyarrow as pa
+
+    rows = [(1, 0, "user", x) for x in ("b", "a", "c", None, "")] + [(2, 0, r, "t") for r in ("user", None, "")] + [(3, None, "user", f"n{i % 300}") for i in range(700)]
+    rows += [(None, i % 7, "user", f"m{i}") for i in range(600)] + [(4, 0, "user", "b"), (4, 0, "user", "a"), (5, 1, "user", "a"), (5, 2, "user", "b")]
+    table = pa.table({c: pa.array([r[k] for r in rows], t) for k, (c, t) in enumerate((("conv_id", pa.int64()), ("turn", pa.int64()), ("role", pa.string()), ("text", pa.string())))})
+    con = duckdb.connect()
+    con.register("conversations", table)
+    want = con.execute(f"SELECT conv_id, part, n_turns, n_equal, rendered FROM ({chat.ORACLE})").fetchall()
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    got = chat.render(df).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+    assert sorted((r.part, r.rendered.count(chat.START)) for r in got if r.conv_id is None) == [(1, 256), (2, 256), (3, 88)]
+    assert [r.rendered.count(chat.START) for r in sorted(got, key=lambda r: r.part) if r.conv_id == 3] == [256, 44]
