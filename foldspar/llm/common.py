@@ -18,11 +18,14 @@ WORD = re.compile(NOT_SPACE + "+")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the cluster names it; a local one only if it names none."""
+    """The folder that driver and executors share, as spark.checkpoint.dir names it.
+
+    A session on a local master that names none, as in tests, gets one of its own in the temp folder.
+    """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     made = getattr(shared_dir, "local", None)
     if made is None:
@@ -62,17 +65,32 @@ def words(text: Column) -> Column:
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, r"[\x20\x09-\x0D]+"))
 
 
-#: Rows and bytes of a batch that goes to a Python worker, unless the session asks for less.
-BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 512, "spark.sql.execution.arrow.maxBytesPerBatch": 16 << 20}
+#: Rows and bytes of a batch that goes to a Python worker.
+ROWS, BYTES = 512, 16 << 20
 
 
 def in_batches(df: DataFrame, run, schema) -> DataFrame:
-    """df.mapInArrow(run, schema) in batches so small that long texts stay within a worker's memory."""
-    for key, most in BATCH.items():
-        now = int(re.sub(r"\D", "", df.sparkSession.conf.get(key)) or 0)
-        if not 0 < now <= most:
-            df.sparkSession.conf.set(key, str(most))
-    return df.mapInArrow(run, schema)
+    """df.mapInArrow(run, schema) in batches so small that long texts stay within a worker's memory.
+
+    Spark's own batches may hold more, as its limits are the session's; run sees slices of them.
+    """
+
+    def cut(batches):
+        for batch in batches:
+            each = max(1, min(ROWS, batch.num_rows * BYTES // max(1, batch.nbytes)))
+            for at in range(0, batch.num_rows, each):
+                yield batch.slice(at, each)
+
+    return df.mapInArrow(lambda batches: run(cut(batches)), schema)
+
+
+#: Parts that a share of rows is counted in; the product with any bound on rows stays below 2^63.
+PARTS = 1 << 40
+
+
+def about(most: int, of: int, *by: str) -> Column:
+    """Of ``of`` rows the predicate picks about ``most``, by a hash of the columns; all of them if there are no more."""
+    return F.lit(True) if of <= most else F.pmod(F.xxhash64(*by), F.lit(PARTS)) < F.lit(PARTS * most // of).cast("long")
 
 
 def id_type(df: DataFrame, column: str = "doc_id") -> str:
