@@ -13,7 +13,8 @@ place of the least ``HALF``-byte name in them, an anchor; equal windows choose e
    texts, and each of their windows is ranked by its ``LENGTH``-byte name among those with the same anchor name: in
    sorted runs where a name has at most ``HOT`` members, else by an aggregation over the pairs of names.
 
-Texts are hashed in pieces of ``PIECE`` windows; a piece's edge only moves anchors to the third round.
+Texts are hashed in pieces of ``PIECE`` windows; a piece's edge only moves anchors to the third round. Rows are numbered
+in a written copy of the texts, so that neither equal nor colliding ids can mix the spans of two texts.
 
 Defined results: text is its UTF-8 bytes, null is empty; texts shorter than LENGTH lose nothing; repeated rows are
 copies of each other, so all of their bytes go if they are long enough; a null doc_id is an id like others; an empty
@@ -183,15 +184,16 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 kept.append(data[at:a])
                 removed, at = removed + b - a, b
             kept.append(data[at:])
-            out.append((len(data), removed, len(runs), b"".join(kept)))
+            rest = b"".join(kept)
+            out.append((len(data), removed, len(runs), rest, rest.decode("utf-8", "replace")))
         numbers = [pa.array([x[k] for x in out], pa.int64()) for k in range(3)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), *numbers, pa.array([x[3] for x in out], pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), *numbers, pa.array([x[3] for x in out], pa.binary()), pa.array([x[4] for x in out], pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "text"])
 
 
 def repeated(keyed: DataFrame) -> DataFrame:
     """row, start, end: extents that cover every repeated string of LENGTH bytes, for keyed's columns row and text.
 
-    Rows with the same key must hold the same text; they count as copies of each other.
+    The numbers in row must differ.
     """
     found = materialise(in_batches(keyed.select("row", "text"), _anchored, "name long, cover long, row long, spot long, weight int"), "suffix-anchors")
     # each grouped side of a join by name is written first: the join then reads plain exchanges, whose hot parts can be split
@@ -218,13 +220,17 @@ def repeated(keyed: DataFrame) -> DataFrame:
 
 
 def cleaned(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept (the remaining bytes) of every document."""
-    keyed = docs.select("doc_id", text_or_empty().alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
+    """doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes) and text (these as text) of every document.
+
+    In text a character that a span cuts through is shown as U+FFFD.
+    """
+    keyed = docs.select("doc_id", text_or_empty().alias("text"), F.monotonically_increasing_id().alias("row"))
+    keyed = materialise(keyed, "suffix-texts")
     gone = repeated(keyed).groupBy(F.col("row").alias("g_row")).agg(F.collect_list(F.struct("start", "end")).alias("gone"))
     rows = keyed.join(gone, keyed["row"] == gone["g_row"], "left").select("doc_id", "text", "gone")
-    return in_batches(rows, _kept, f"doc_id {id_type(docs)}, n_bytes long, n_removed long, n_spans long, kept binary")
+    return in_batches(rows, _kept, f"doc_id {id_type(docs)}, n_bytes long, n_removed long, n_spans long, kept binary, text string")
 
 
 def removed(docs: DataFrame) -> DataFrame:
-    """The contract's columns for every document."""
-    return cleaned(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    """The contract's columns for every document, and the text that is left."""
+    return cleaned(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "text")
