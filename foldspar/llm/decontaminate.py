@@ -12,12 +12,14 @@ The budget shrinks with the length: items of under 22 characters match without e
 characters, which have no q-gram, by exact search.
 
 Defined results: null or empty text matches nothing; null items and items that are empty after normalisation are passed
-over; an item that occurs twice in the benchmark is reported under each of its rows; repeated
-documents are each reported; empty tables give no matches; other columns are ignored or pass through.
+over; item_id may have any type; an item that occurs twice in the benchmark is reported under each of its rows; repeated
+documents are each reported; empty tables give no matches; other columns are ignored or pass through. Offsets are code
+points of the document as it stands, the end exclusive.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import reduce
 from math import ceil
@@ -26,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from foldspar.llm.common import id_type, in_batches
 
@@ -34,12 +37,30 @@ RATE = 0.10
 BLOCK = 4_000_000
 PIECE = 2_000_000
 _BITS = 22
+_RUN = re.compile(r"\S+")
 
 
 def normalised(text: str | None) -> str:
     return " ".join(text.lower().split()) if text else ""
 
 
+def origins(text: str) -> np.ndarray:
+    """For each character of normalised(text) the place in text that it comes from, and the text's length after the last."""
+    out: list[int] = []
+    grows = len(text.lower()) != len(text)  # a few capitals become two characters
+    for m in _RUN.finditer(text):
+        if out:
+            out.append(m.start() - 1)  # the space
+        out += [k for k in range(m.start(), m.end()) for _ in text[k].lower()] if grows else range(m.start(), m.end())
+    return np.array([*out, len(text)], np.int64)
+
+
+def located(text: str, start: int, end: int) -> tuple[int, int]:
+    """The extent in text of the characters start..end of normalised(text)."""
+    at = origins(text)
+    return int(at[start]), int(at[end - 1]) + 1 if end > start else int(at[start])
+
+
 def codes(text: str) -> np.ndarray:
     """A byte for each code point; equal characters have equal bytes."""
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -244,18 +265,21 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[object, str]]]:
 def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
     """doc_id, item_id, start, end, distance and budget of each place where a document holds an item within the budget."""
     context = docs.sparkSession.sparkContext
+    kind = to_arrow_type(benchmark.schema["item_id"].dataType)
 
     def passed(items) -> DataFrame:
         index = context.broadcast(Index(items, rate))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                found = index.value.matches([normalised(x) for x in batch.column(1).to_pylist()])
+                texts = batch.column(1).to_pylist()
+                found = index.value.matches([normalised(x) for x in texts])
+                spots = [located(texts[x[0]], x[2], x[3]) for x in found]
                 ids = batch.column(0).take(pa.array([x[0] for x in found], pa.int64()))
-                numbers = [pa.array([x[k] for x in found], pa.int64()) for k in (2, 3, 4, 5)]
-                yield pa.RecordBatch.from_arrays([ids, pa.array([x[1] for x in found], pa.int64()), *numbers], names=["doc_id", "item_id", "start", "end", "distance", "budget"])
+                numbers = [pa.array(x, pa.int64()) for x in ([a for a, _ in spots], [b for _, b in spots], [x[4] for x in found], [x[5] for x in found])]
+                yield pa.RecordBatch.from_arrays([ids, pa.array([x[1] for x in found], kind), *numbers], names=["doc_id", "item_id", "start", "end", "distance", "budget"])
 
-        return in_batches(docs.select("doc_id", "text"), run, f"doc_id {id_type(docs)}, item_id long, start long, end long, distance long, budget long")
+        return in_batches(docs.select("doc_id", "text"), run, f"doc_id {id_type(docs)}, item_id {id_type(benchmark, 'item_id')}, start long, end long, distance long, budget long")
 
     return reduce(DataFrame.unionByName, [passed(items) for items in _blocks(benchmark)])
 
