@@ -3,7 +3,7 @@
 A text's words are split into a letter core and the signs around it. Features are hashed cores, hashed pairs of
 neighbouring words, hashed sign runs, and tokens for upper-case words and for word triples that occurred earlier in the
 text; each feature's value is its share of the words, so texts of any length compare. Training goes a few times over a
-sample of at most about ``max_rows`` labelled rows, in one task; the weights, of fixed size, are broadcast, and every
+sample of at most about ``max_rows`` labelled rows and ``max_chars`` characters, in one task; the weights, of fixed size, are broadcast, and every
 document's score is a sparse dot product with them.
 
 Defined results: null text counts as empty, and a text without words gets the score of the bias alone; rows with null
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foldspar.llm.common import id_type, in_batches
+from foldspar.llm.common import about, id_type, in_batches
 
 BITS = 18
 SIZE = 1 << BITS
@@ -74,16 +74,16 @@ class Features:
             parts.append(np.full(n - 2 - len(np.unique(triple)), AGAIN))
         return np.concatenate(parts), n
 
+    def sparse(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct places with their values, the bias's last."""
+        places, n = self.places(text)
+        at, count = np.unique(places, return_counts=True)
+        return np.append(at, WIDTH), np.append(count * (SCALE / max(1, n)), 1.0)
+
 
-def train(rows: list[tuple[str, int]]) -> np.ndarray:
-    """Weights (the last is the bias) by FTRL-proximal passes over (text, label) rows in the given order."""
+def trained(sparse: list[tuple[np.ndarray, np.ndarray, int]]) -> np.ndarray:
+    """Weights (the last is the bias) by FTRL-proximal passes over rows of places, values and a label, in the given order."""
     z, squares = np.zeros(WIDTH + 1), np.zeros(WIDTH + 1)
-    features = Features()
-    sparse = []
-    for text, label in rows:
-        places, n = features.places(text)
-        at, count = np.unique(places, return_counts=True)
-        sparse.append((np.append(at, WIDTH), np.append(count * (SCALE / max(1, n)), 1.0), label))
 
     def weights(at) -> np.ndarray:
         a, s = z[at], squares[at]
@@ -102,19 +102,31 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 6000) -> np.ndarray:
-    """Weights learnt from rows of labels that are not held out, at most about max_rows of them, picked by hash."""
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, max_chars: int = 1 << 28) -> np.ndarray:
+    """Weights learnt from rows of labels that are not held out.
+
+    At most about max_rows rows are picked by hash, and of them, in the order of the hash, as many as have max_chars
+    characters together: what one task holds is bounded in both.
+    """
     usable = labels.select(F.col("doc_id").alias("l_id"), F.col("quality").cast("int").alias("label")).where(~held_out("l_id") & F.col("l_id").isNotNull() & F.col("quality").isin(0, 1))
     n = usable.count()
     if not n:
         return np.zeros(WIDTH + 1)
-    order = F.xxhash64(F.lit("quality"), "l_id")
-    usable = usable.withColumn("h", order).where(F.pmod("h", F.lit(1_000_000)) < F.lit(max(1, 1_000_000 * max_rows // n)))
+    usable = usable.withColumn("h", F.xxhash64(F.lit("quality"), "l_id")).where(about(max_rows, n, "h"))
     rows = docs.select("doc_id", "text").join(usable, docs["doc_id"] == usable["l_id"]).select("h", "l_id", "text", "label")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        every = [(t or "", y) for b in batches for t, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array([train(every).tobytes()], pa.binary())], names=["weights"])
+        features, sparse, left = Features(), [], max_chars
+        for batch in batches:
+            for text, label in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                if (left := left - len(text or "")) < 0:
+                    break
+                sparse.append((*features.sparse(text or ""), label))
+            if left < 0:
+                break
+        for _ in batches:  # the rest is not trained on
+            pass
+        yield pa.RecordBatch.from_arrays([pa.array([trained(sparse).tobytes()], pa.binary())], names=["weights"])
 
     one = rows.repartition(1).sortWithinPartitions("h", "l_id", "text", "label")
     made = in_batches(one, run, "weights binary").first()

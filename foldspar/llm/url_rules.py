@@ -19,7 +19,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foldspar.llm.common import materialise
+from foldspar.llm.common import about, materialise
 
 #: (verdict, host, path): fixed values of the contract.
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
@@ -66,7 +66,7 @@ def mine(labelled: DataFrame, max_rows: int = 20_000, min_support: float = 0.002
     if n < min_count:
         return None
     min_support = max(min_support, min_count / min(n, max_rows))
-    rows = labelled.where(F.pmod(F.xxhash64("page_id", "tokens"), F.lit(1_000_000)) < F.lit(1_000_000 * max_rows // n))
+    rows = labelled.where(about(max_rows, n, "page_id", "tokens"))
     rows = materialise(rows.select(F.when(F.col("bad"), F.array_append("tokens", BAD)).otherwise(F.col("tokens")).alias("items")).where(F.size("items") > 0), "url-transactions")
     if rows.isEmpty():
         return None
