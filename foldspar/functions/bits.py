@@ -78,7 +78,10 @@ class BitField:
 
     def fits(self, value: Column) -> Column:
         value = _long(value)
-        return F.lit(True) if self.length >= 63 else (value >= 0) & (value <= _lit(self.max_value))
+        if self.length >= 64:
+            return F.lit(True)
+        # a negative number is the pattern of one beyond 63 bits
+        return value >= 0 if self.length == 63 else (value >= 0) & (value <= _lit(self.max_value))
 
     def set(self, word: Column | str, value: Column) -> Column:
         """Stops the job on overflow."""
@@ -303,11 +306,12 @@ class Layout:
                 known = m.enum.encode(values[m.name])
                 bad = (values[m.name].isNotNull() & known.isNull()) | F.coalesce(known > _lit((1 << min(m.length, 62)) - 1), F.lit(False))
                 text = F.concat(F.lit(f"field '{m.name}': value "), F.coalesce(known.cast("string"), values[m.name]), F.lit(f" exceeds max {(1 << m.length) - 1}"))
-            elif m.length >= 63:
+            elif m.length >= 64:
                 continue
             else:
                 v, most = _long(values[m.name]), (1 << m.length) - 1
-                bad = (v < -(1 << (m.length - 1))) | (v > (1 << (m.length - 1)) - 1) if m.signed else (v < 0) | (v > _lit(most))
+                least = _lit(-(1 << (m.length - 1)))
+                bad = (v < least) | (v > _lit((1 << (m.length - 1)) - 1)) if m.signed else (v < 0) | (v > _lit(most))
                 text = F.concat(F.lit(f"field '{m.name}': "), overflow_text(v, most))
             out = F.when(F.coalesce(bad, F.lit(False)), text).otherwise(out)
         return out
