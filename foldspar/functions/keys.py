@@ -42,3 +42,18 @@ def rounded_capacity(capacity: int) -> int:
     if capacity <= 0:
         raise ValueError("capacity must be positive")
     return 1 << (capacity - 1).bit_length()
+
+
+#: Fixed value: the bytes of a slab unless said otherwise.
+SLAB_BYTES = 256 * 1024
+
+
+def slab_sizing(capacity: int, slot_bytes: int, slab_bytes: int = SLAB_BYTES) -> tuple[int, int]:
+    """Slots in a slab and the number of slabs that hold capacity slots of slot_bytes each."""
+    if capacity <= 0:
+        raise ValueError("capacity must be positive")
+    slot_bytes = max(1, slot_bytes)
+    if slot_bytes > slab_bytes:
+        raise ValueError(f"a slot of {slot_bytes} bytes does not fit a slab of {slab_bytes}")
+    slots = slab_bytes // slot_bytes
+    return slots, -(-capacity // slots)

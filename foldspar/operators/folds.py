@@ -206,7 +206,7 @@ def sequence(log: DataFrame, capacity: int | None = None) -> DataFrame:
 
 
 def bounded_map(log: DataFrame, capacity: int) -> DataFrame:
-    """Ops insert (upsert), get_or_insert, remove and pop_first, pop_last on a sorted map; only a new key can find it full."""
+    """Ops insert (upsert), get_or_insert, remove, pop_first, pop_last and clear on a sorted map; only a new key can find it full."""
 
     def make():
         held: dict = {}
@@ -225,6 +225,8 @@ def bounded_map(log: DataFrame, capacity: int) -> DataFrame:
                 status, value = ("ok", held.pop(row.key)) if row.key in held else ("missing", None)
             elif row.op in ("pop_first", "pop_last"):
                 status, value = ("ok", held.pop((min if row.op == "pop_first" else max)(held))) if held else ("empty", None)
+            elif row.op == "clear":
+                held.clear()
             return status, value, len(held)
 
         return step

@@ -439,9 +439,29 @@ def list_back_mut(spark, d):
     return ordered.change_end(rows, ["user_id"], ["event_id"], "value", lambda v: v * 2, backward=True)
 
 
-@query()
+@query("""WITH RECURSIVE l AS (SELECT user_id AS inst, event_id AS seq, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn, event_id % 23 AS key, event_id % 7 AS value,
+  CASE event_type WHEN 'click' THEN 'push_back' WHEN 'view' THEN 'push_front' WHEN 'signup' THEN 'insert_after' WHEN 'purchase' THEN 'pop_front' ELSE 'move_to_back' END AS op FROM events),
+f AS (SELECT inst, CAST(0 AS BIGINT) AS rn, CAST([] AS BIGINT[]) AS q, CAST([] AS BIGINT[]) AS was FROM (SELECT DISTINCT inst FROM l)
+  UNION ALL SELECT l.inst, l.rn, CASE
+    WHEN op IN ('push_back', 'push_front', 'insert_after') AND len(q) >= 16 THEN q
+    WHEN op = 'push_back' THEN list_append(q, key)
+    WHEN op = 'push_front' THEN list_prepend(key, q)
+    WHEN op = 'insert_after' AND list_contains(q, value) THEN q[1:list_position(q, value)] || [key] || q[list_position(q, value) + 1:len(q)]
+    WHEN op = 'pop_front' THEN q[2:len(q)]
+    WHEN op = 'move_to_back' AND list_contains(q, key) THEN q[1:list_position(q, key) - 1] || q[list_position(q, key) + 1:len(q)] || [key]
+    ELSE q END, q
+  FROM f JOIN l ON l.inst = f.inst AND l.rn = f.rn + 1)
+SELECT l.inst, seq, op, CASE
+    WHEN op IN ('push_back', 'push_front', 'insert_after') AND len(was) >= 16 THEN 'full'
+    WHEN op = 'insert_after' AND NOT list_contains(was, value) THEN 'missing'
+    WHEN op = 'pop_front' AND len(was) = 0 THEN 'empty'
+    WHEN op = 'move_to_back' AND NOT list_contains(was, key) THEN 'missing' ELSE 'ok' END AS status,
+  CASE WHEN op IN ('push_back', 'push_front', 'insert_after') AND len(was) >= 16 THEN key
+    WHEN op = 'insert_after' AND NOT list_contains(was, value) THEN key
+    WHEN op = 'pop_front' THEN was[1] END AS value, CAST(len(q) AS BIGINT) AS len
+FROM f JOIN l ON l.inst = f.inst AND l.rn = f.rn""")
 def list_positional(spark, d):
-    """Inserts after and before, moves and unlinks in order: a fold, tested against a plain list."""
+    """Inserts after a key, moves and pops in order."""
     ops = {"click": "push_back", "view": "push_front", "signup": "insert_after", "purchase": "pop_front", "error": "move_to_back"}
     log = op_log(table(spark, d, "events"), c("user_id"), c("event_id"), ops, c("event_type"), key=c("event_id") % 23, value=c("event_id") % 7)
     return folds.sequence(log, 16)
@@ -519,9 +539,20 @@ def map_pop_first_n(spark, d):
     return ordered.popped(_orders(spark, d).select("o_custkey", "o_orderkey"), ["o_custkey"], ["o_orderkey"], 2)
 
 
-@query()
+@query("""WITH RECURSIVE l AS (SELECT user_id AS inst, event_id AS seq, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn, event_id % 31 AS key,
+  CASE event_type WHEN 'click' THEN 'insert' WHEN 'view' THEN 'get_or_insert' WHEN 'purchase' THEN 'pop_first' WHEN 'signup' THEN 'pop_last' ELSE 'remove' END AS op FROM events),
+f AS (SELECT inst, CAST(0 AS BIGINT) AS rn, CAST([] AS BIGINT[]) AS ks, CAST([] AS BIGINT[]) AS vs, CAST(NULL AS BIGINT) AS old, CAST(0 AS BIGINT) AS had FROM (SELECT DISTINCT inst FROM l)
+  UNION ALL SELECT inst, rn,
+    CASE WHEN op IN ('insert', 'get_or_insert') THEN CASE WHEN pos IS NULL AND len(ks) < 6 THEN list_append(ks, key) ELSE ks END WHEN pos IS NULL THEN ks ELSE ks[1:pos - 1] || ks[pos + 1:len(ks)] END,
+    CASE WHEN op IN ('insert', 'get_or_insert') THEN CASE WHEN pos IS NULL THEN CASE WHEN len(ks) < 6 THEN list_append(vs, seq) ELSE vs END WHEN op = 'insert' THEN vs[1:pos - 1] || [seq] || vs[pos + 1:len(vs)] ELSE vs END
+      WHEN pos IS NULL THEN vs ELSE vs[1:pos - 1] || vs[pos + 1:len(vs)] END, vs[pos], len(ks)
+  FROM (SELECT l.*, ks, vs, nullif(coalesce(list_position(ks, CASE op WHEN 'pop_first' THEN list_min(ks) WHEN 'pop_last' THEN list_max(ks) ELSE key END), 0), 0) AS pos FROM f JOIN l ON l.inst = f.inst AND l.rn = f.rn + 1))
+SELECT l.inst, seq, op, CASE WHEN op IN ('insert', 'get_or_insert') THEN CASE WHEN old IS NULL AND had >= 6 THEN 'full' ELSE 'ok' END
+    WHEN old IS NOT NULL THEN 'ok' WHEN op = 'remove' THEN 'missing' ELSE 'empty' END AS status,
+  CASE WHEN old IS NOT NULL THEN old WHEN op = 'get_or_insert' OR (op = 'insert' AND had >= 6) THEN seq END AS value, CAST(len(ks) AS BIGINT) AS len
+FROM f JOIN l ON l.inst = f.inst AND l.rn = f.rn""")
 def map_bounded(spark, d):
-    """Upserts into a bounded sorted map with pops: a fold, tested against a plain dict."""
+    """Upserts into a bounded sorted map with pops."""
     ops = {"click": "insert", "view": "get_or_insert", "purchase": "pop_first", "error": "remove", "signup": "pop_last"}
     log = op_log(table(spark, d, "events"), c("user_id"), c("event_id"), ops, c("event_type"), key=c("event_id") % 31, value=c("event_id"))
     return folds.bounded_map(log, 6)
@@ -578,8 +609,16 @@ def slab_statistics(spark, d):
     return folds.slab_statistics(folds.slab(_slab_log(spark, d), 4), 4)
 
 
-@query()
+@query("""WITH RECURSIVE l AS (SELECT user_id AS inst, event_id AS seq, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn, event_id % 8 AS key, event_type IN ('purchase', 'error') AS rem FROM events),
+f AS (SELECT inst, CAST(0 AS BIGINT) AS rn, CAST([0, 1, 2, 3, 4, 5, 6, 7] AS BIGINT[]) AS free, CAST([NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL] AS BIGINT[]) AS held, CAST(NULL AS BIGINT) AS taken, CAST(NULL AS BIGINT) AS old
+  FROM (SELECT DISTINCT inst FROM l)
+  UNION ALL SELECT inst, rn, CASE WHEN NOT rem THEN free[1:len(free) - 1] WHEN was IS NULL THEN free ELSE list_append(free, key) END,
+    CASE WHEN rem THEN held[1:key] || [NULL] || held[key + 2:8] WHEN top IS NULL THEN held ELSE held[1:top] || [seq] || held[top + 2:8] END, top, was
+  FROM (SELECT l.*, free, held, free[len(free)] AS top, held[key + 1] AS was FROM f JOIN l ON l.inst = f.inst AND l.rn = f.rn + 1))
+SELECT l.inst, seq, CASE WHEN rem THEN 'remove' ELSE 'insert' END AS op, CASE WHEN rem THEN CASE WHEN old IS NULL THEN 'missing' ELSE 'ok' END WHEN taken IS NULL THEN 'full' ELSE 'ok' END AS status,
+  CASE WHEN rem THEN old WHEN taken IS NULL THEN seq ELSE taken END AS value, CAST(8 - len(free) AS BIGINT) AS len
+FROM f JOIN l ON l.inst = f.inst AND l.rn = f.rn""")
 def boxed_lifo_alloc(spark, d):
-    """Inserts and removes on a boxed store: a fold, tested against a plain model."""
+    """Inserts and removes on a boxed store."""
     log = op_log(table(spark, d, "events"), c("user_id"), c("event_id"), {"click": "insert", "view": "insert", "signup": "insert", "purchase": "remove", "error": "remove"}, c("event_type"), key=c("event_id") % 8, value=c("event_id"))
     return folds.boxed(log, 8)

@@ -125,7 +125,7 @@ def test_snake_case():
 
 
 def test_fields_of_63_bits_are_checked(spark):
-    field, layout = BitField(0, 63), Layout("u64", (Member("a", "u64", 0, 63), bits.flag("top", 63)))
+    field, layout = BitField(0, 63), Layout("u64", (Member("a", "u64", 0, 63), flag("top", 63)))
     big = 2**63 - 1
     assert one(spark, field.try_set(lit(0), lit(-1)), field.try_set(lit(-(2**63)), lit(big)), layout.pack(a=lit(-1)), layout.pack(a=lit(big), top=lit(True))) == (
         (None, f"value -1 exceeds max {big}"), (-1, None), (None, f"field 'a': value -1 exceeds max {big}"), (-1, None),

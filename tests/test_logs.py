@@ -286,3 +286,14 @@ def test_streams_equal_batches(spark, tmp_path):
     as_queue = lambda df: df.withColumn("op", F.when(F.col("op") == "write", "push").otherwise("pop"))
     got = outcomes(drained(stateful.queue_outcomes(as_queue(read()), 3), "queues"), "inst", "seq", "status", "value", "len")
     assert got == outcomes(bounded.queue(as_queue(batch), 3), "inst", "seq", "status", "value", "len")
+
+
+def test_sizes_of_slabs_and_cleared_maps(spark):
+    from foldspar.functions import keys
+
+    assert keys.slab_sizing(1000, 64, 4096) == (64, 16) and keys.slab_sizing(1, 4096, 4096) == (1, 1) and keys.slab_sizing(65, 64, 4096) == (64, 2)
+    for wrong in ((0, 8, 64), (5, 65, 64)):
+        with pytest.raises(ValueError):
+            keys.slab_sizing(*wrong)
+    log = spark.createDataFrame([(1, 1, "insert", 1, 10), (1, 2, "clear", None, None), (1, 3, "pop_first", None, None), (1, 4, "insert", 2, 20)], "inst long, seq long, op string, key long, value long")
+    assert [(r.status, r.len) for r in folds.bounded_map(log, 2).orderBy("seq").collect()] == [("ok", 1), ("ok", 0), ("empty", 0), ("ok", 1)]
