@@ -194,7 +194,7 @@ def estimates(vectors: DataFrame, keys: list[str], keep: float = 0.5, reweight:
     while falling:
         near = vectors.join(e, same(vectors, e)).withColumn("d2", _distance(x, "e"))
         cut = near.groupBy(*g, "start").agg(F.percentile_approx("d2", keep, 10_000).alias("cut"), F.first("e").alias("e"), F.first("n").alias("n"), F.first("det").alias("det"))
-        new = stepped(materialise(cut, "mcd-cut"), consistency(keep))
+        new = stepped(cut, consistency(keep))
         # det is the least so far, so each further step needs a group that falls below all its former ones
         new = new.select(*g, "n", "start", "e", F.least("det", "was").alias("det"), F.coalesce(F.col("det") < 0.95 * F.col("was"), F.lit(False)).alias("fell"))
         steps += 1
