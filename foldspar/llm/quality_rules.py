@@ -132,21 +132,16 @@ def _scatter(m: Column, s: Column, scale: float) -> Column:
 def _factored(df: DataFrame) -> DataFrame:
     """Adds e, a struct of the columns m and c (the scatter) and the inverse of c's Cholesky factor, v; and det, c's determinant."""
     low: dict = {}
-    for i in range(D):
-        for j in range(i + 1):
-            value = F.col("c")[i * D + j]
-            for k in range(j):
-                value = value - low[i, k] * low[j, k]
-            df = df.withColumn(f"l{i}{j}", F.sqrt(F.greatest(value, F.lit(1e-12))) if i == j else value / low[j, j])
-            low[i, j] = F.col(f"l{i}{j}")
+    for j in range(D):  # a column of the factor at a time
+        rest = {i: F.col("c")[i * D + j] - sum((low[i, k] * low[j, k] for k in range(j)), F.lit(0.0)) for i in range(j, D)}
+        root = F.sqrt(F.greatest(rest[j], F.lit(1e-12)))
+        df = df.withColumns({f"l{i}{j}": root if i == j else rest[i] / root for i in rest})
+        low |= {(i, j): F.col(f"l{i}{j}") for i in rest}
     inverse: dict = {}
-    for j in range(D):
-        for i in range(j, D):
-            value = F.lit(1.0) if i == j else F.lit(0.0)
-            for k in range(j, i):
-                value = value - low[i, k] * inverse[k, j]
-            df = df.withColumn(f"v{i}{j}", value / low[i, i])
-            inverse[i, j] = F.col(f"v{i}{j}")
+    for i in range(D):  # a row of the inverse at a time
+        row = {j: (F.lit(1.0 if i == j else 0.0) - sum((low[i, k] * inverse[k, j] for k in range(j, i)), F.lit(0.0))) / low[i, i] for j in range(i + 1)}
+        df = df.withColumns({f"v{i}{j}": value for j, value in row.items()})
+        inverse |= {(i, j): F.col(f"v{i}{j}") for j in row}
     v = F.array(*[inverse.get((i, j), F.lit(0.0)) for i in range(D) for j in range(D)])
     det = F.lit(1.0)
     for i in range(D):
