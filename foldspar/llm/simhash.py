@@ -176,15 +176,15 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _met(table: pa.Table, least: float) -> pa.Table:
-    """Links between rows of the chunks lo and hi of a bucket; rows that earlier links connect are not compared."""
+    """Links between labels of rows in the chunks lo and hi of a bucket; rows that earlier links connect are not compared."""
     row, label, chunk = (table.column(k).to_numpy().copy() for k in ("row", "label", "c"))
     lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
-    bins, right = _bins(table.column("bins")), np.flatnonzero(chunk == hi)
+    bins, right, was = _bins(table.column("bins")), np.flatnonzero(chunk == hi), label.copy()
     found: list[tuple[int, int]] = []
     for i in np.flatnonzero(chunk == lo):
         others = right[(label[right] != label[i]) & ((lo != hi) | (row[right] > row[i]))]
         near = others[_share(bins[i], bins[others]) >= least]
-        found += [(row[k], row[i]) for k in near[np.unique(label[near], return_index=True)[1]]]
+        found += [(was[k], was[i]) for k in near[np.unique(label[near], return_index=True)[1]]]
         if len(near):
             label[np.isin(label, label[near])] = label[i]
     return pa.table({"a": pa.array([x[0] for x in found], pa.int64()), "b": pa.array([x[1] for x in found], pa.int64())})
@@ -218,13 +218,20 @@ def one_of_each(docs: DataFrame, k: int = 5, similarity: float = 0.8, slack: flo
     for some in (range(1), range(1, 4), range(4, SKETCHES)):
         more = _across(shared.where((F.col("n") > 2) & F.col("j").between(some[0], some[-1])), roots, bins, similarity - slack)
         if more is not None:
-            roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+            roots = _merged(roots, components(more))
     gone = roots.select(F.col("node").alias("__sim_node"))
     return base.join(gone, base["__sim_row"] == gone["__sim_node"], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
+def _merged(roots: DataFrame, more: DataFrame) -> DataFrame:
+    """roots after their components are joined as more, the components of links between them, says."""
+    more = more.select(F.col("node").alias("was"), F.col("root").alias("now"))
+    kept = roots.join(more, roots["root"] == more["was"], "left").select("node", F.coalesce("now", "root").alias("root"))
+    return materialise(kept.unionByName(more.select(F.col("was").alias("node"), F.col("now").alias("root"))), "simhash-roots")
+
+
 def _across(shared: DataFrame, roots: DataFrame, bins: DataFrame, least: float) -> DataFrame | None:
-    """Links between rows of a bucket that the links to its first row leave apart: every such pair is compared.
+    """Links between components of rows of a bucket that the links to its first row leave apart: every such pair is compared.
 
     A bucket of more than ``CHUNK`` rows is dealt by hash to chunks, and each two chunks meet in a group of their own.
     None if the first rows connect every bucket.
