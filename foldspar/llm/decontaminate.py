@@ -131,14 +131,18 @@ class Index:
         width = int(band.max()) + 2
         key = (doc * len(self.items) + item) * width + band
         keys = np.concatenate([key, key - 1])
-        order = np.argsort(keys, kind="stable")
-        values, first, count = np.unique(keys[order], return_index=True, return_counts=True)
-        for j in np.flatnonzero(count >= self.least[values // width % len(self.items)]):
-            hits = order[first[j] : first[j] + count[j]] % len(key)
+        values, count = np.unique(keys, return_counts=True)
+        values = values[count >= self.least[values // width % len(self.items)]]
+        if not len(values):
+            return
+        kept = np.flatnonzero(values[np.minimum(np.searchsorted(values, keys), len(values) - 1)] == keys)
+        kept = kept[np.argsort(keys[kept], kind="stable")]
+        first = np.searchsorted(keys[kept], values)
+        for j, hits in enumerate(np.split(kept % len(key), first[1:])):
             pair, band_no = divmod(int(values[j]), width)
             d, i = divmod(pair, len(self.items))
             places, diagonals = self.place[posting[hits]], shifted[hits]
-            if _spread(places, diagonals, int(self.stride[i])) >= self.least[i]:
+            if _enough(places, diagonals, int(self.stride[i]), int(self.least[i])):
                 yield d, i, (band_no - 1) * int(self.stride[i]) - longest
 
     def exact(self, texts: list[str]) -> Iterator[tuple[int, int, int, int]]:
@@ -212,14 +216,15 @@ def _apart(found: set) -> list[tuple]:
     return [x[:6] for x in sorted(out, key=lambda x: (x[0], x[2], x[3], x[6]))]
 
 
-def _spread(places: np.ndarray, diagonals: np.ndarray, width: int) -> int:
-    """The most places of the item that are hit on width neighbouring diagonals."""
-    best = 0
-    for start in np.unique(diagonals):
-        inside = (diagonals >= start) & (diagonals < start + width)
-        if inside.sum() > best:
-            best = max(best, len(np.unique(places[inside])))
-    return best
+def _enough(places: np.ndarray, diagonals: np.ndarray, width: int, least: int) -> bool:
+    """Whether at least least places of the item are hit on width neighbouring diagonals."""
+    if len(np.unique(places)) < least:
+        return False
+    order = np.argsort(diagonals, kind="stable")
+    places, diagonals = places[order], diagonals[order]
+    last = np.searchsorted(diagonals, diagonals + width)
+    starts = np.flatnonzero(np.append(True, diagonals[1:] != diagonals[:-1]) & (last - np.arange(len(last)) >= least))
+    return any(len(np.unique(places[a : last[a]])) >= least for a in starts)
 
 
 def align(item: str, region: str, low: int, high: int, most: int | None = None) -> tuple[int, int]:
