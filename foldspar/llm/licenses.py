@@ -2,9 +2,10 @@
 
 A multinomial logistic regression on hashed word n-grams (sparse vectors, L2-normalised) is trained on the paragraphs of
 the templates below, on parts of them, and on other text, which makes the unknown class: sentences that only look like
-licences, and from a bounded sample of documents the paragraphs with a cue word that are like no template, and others.
-The probability from which a family is believed is calibrated on the sample's paragraphs with a cue that were held out of
-the training, the kind that is scored, so that at most a share ``false_rate`` of them would pass. A believed family is
+licences, and of all documents the paragraphs with a cue word that are like no template. (Those without one are scored
+only if they are like a template, so they are no examples of it.) Of these paragraphs, each counted once, a half by hash
+trains; on the other half, every one of them, the probability from which a family is believed is calibrated, so that at
+most a share ``false_rate`` of them would pass. A believed family is
 confirmed if the paragraph holds enough of the word bigrams of one of the family's templates.
 
 Two kinds of paragraphs are scored. Lines with a cue word are scored as they are, in windows overlapping by half if they
@@ -31,10 +32,12 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldspar.llm.common import about, materialise, text_or_empty
+from foldspar.llm.common import materialise, text_or_empty
 
 WINDOW, STRETCH = 60, 120
 FEATURES = 1 << 13
+#: Examples that one task of the training takes.
+TASK = 20_000
 WRAPPED = 1_000_000
 MIN_SIMILARITY = 0.6
 #: Paragraphs with less than this share of every template's bigrams are examples of the unknown class.
@@ -253,15 +256,11 @@ def _labelled(spark: SparkSession) -> DataFrame:
     return rows.select("label", F.explode(cuts).alias("words"))
 
 
-def _background(docs: DataFrame, rows: int) -> DataFrame:
-    """Distinct paragraphs (words, their hash h, cue) of about rows documents: those with a cue that are like no template, and all without."""
-    some = materialise(docs.select("doc_id", text_or_empty().alias("text")).where(about(rows, docs.count(), "doc_id", "text")), "license-sample")
-    with_cue = paragraphs(some).select("words")
-    with_cue = with_cue.where(F.array_max(F.transform(_templates(), lambda t: _share(t["grams"], _pairs(F.col("words"))))) < UNLIKE)
-    lines = some.select(F.explode(F.split("text", "\n")).alias("line")).where(~F.col("line").rlike(f"(?i){CUES}"))
-    without = lines.select(F.slice(tokens(F.col("line")), 1, WINDOW).alias("words")).where(F.size("words") > 0)
-    every = with_cue.select("words", F.lit(True).alias("cue")).unionByName(without.select("words", F.lit(False).alias("cue")))
-    return every.distinct().withColumn("h", F.xxhash64("words"))
+def _background(cued: DataFrame) -> DataFrame:
+    """Distinct paragraphs (words, their hash h) of those with a cue that are like no template."""
+    some = cued.select("words").distinct()
+    some = some.where(F.array_max(F.transform(_templates(), lambda t: _share(t["grams"], _pairs(F.col("words"))))) < UNLIKE)
+    return some.withColumn("h", F.xxhash64("words"))
 
 
 class Classifier:
@@ -276,10 +275,10 @@ class Classifier:
         return Normalizer(inputCol="__lic_t", outputCol="__lic_features").transform(tf.transform(rows.withColumn("__lic_g", _grams(F.col("words"))))).drop("__lic_g", "__lic_t")
 
     @classmethod
-    def fit(cls, docs: DataFrame, max_background: int = 500, false_rate: float = 0.002) -> Classifier:
-        """max_background bounds the sampled documents whose paragraphs train and calibrate the unknown class."""
+    def fit(cls, docs: DataFrame, false_rate: float = 0.002, cued: DataFrame | None = None) -> Classifier:
+        """The unknown class is trained and calibrated on all of docs; cued is paragraphs(docs), if it is at hand."""
         spark = docs.sparkSession
-        background = materialise(_background(docs, max_background), "license-background")
+        background = materialise(_background(paragraphs(docs) if cued is None else cued), "license-background")
         half = F.pmod(F.col("h"), F.lit(2))
         train = _labelled(spark).unionByName(background.where(half == 0).select(F.lit(0.0).alias("label"), "words"))
         counts = F.count(F.lit(1))
@@ -287,9 +286,10 @@ class Classifier:
         n = train.agg(counts.alias("n"), F.count_if(F.col("label") == 0).alias("unknown")).first()
         train = train.withColumn("weight", F.when(F.col("label") == 0, min(1.0, (n["n"] - n["unknown"]) / max(1, n["unknown"]))).otherwise(1.0))
         fitter = LogisticRegression(featuresCol="__lic_features", family="multinomial", regParam=2e-4, maxIter=30, weightCol="weight", standardization=False)
-        out = cls(fitter.fit(materialise(cls.vectors(train).coalesce(1), "license-training")))
+        tasks = ceil(n["n"] / TASK)  # sums of one task come in one order
+        out = cls(fitter.fit(materialise(cls.vectors(train).repartition(tasks, "words") if tasks > 1 else cls.vectors(train).coalesce(1), "license-training")))
         known = 1 - F.get("probability", F.lit(0))
-        top = out.scored(background.where((half == 1) & F.col("cue"))).agg(F.percentile_approx(known, 1 - false_rate, 10_000).alias("q")).first()["q"]
+        top = out.scored(background.where(half == 1)).agg(F.percentile(F.round(known, 5), 1 - false_rate).alias("q")).first()["q"]
         out.threshold = min(0.9, max(0.5, top or 0.0))
         return out
 
@@ -314,8 +314,9 @@ def scan(docs: DataFrame, min_similarity: float = MIN_SIMILARITY, **fitting) ->
     family is the likeliest one, or unknown if it isn't believed; confirmed is true if it is believed and similar enough
     to a template of it.
     """
-    fitted = Classifier.fit(docs.select("doc_id", "text"), **fitting)
-    rows = fitted.scored(paragraphs(docs).unionByName(wrapped(docs, min_similarity)))
+    cued = materialise(paragraphs(docs), "license-paragraphs")
+    fitted = Classifier.fit(docs, cued=cued, **fitting)
+    rows = fitted.scored(cued.unionByName(wrapped(docs, min_similarity)))
     known = F.slice("probability", 2, len(FAMILIES))
     rows = rows.withColumn("best", F.array_max(known)).withColumn("likeliest", F.element_at(F.array(*[F.lit(x) for x in TEMPLATES]), F.array_position(known, F.col("best")).cast("int")))
     rows = rows.withColumn("similarity", _similarity(F.col("likeliest"), F.col("words")))

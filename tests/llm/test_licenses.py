@@ -69,3 +69,14 @@ def test_samples_keep_their_bounds(spark):
         assert abs(n - most) < 5 * most**0.5 + 1
     assert df.where(about(30_000, 20_000, "id")).count() == 20_000
     assert "1099511627" in str(about(10**3, 10**6, "id"))  # the share is kept exactly enough for 10^15 rows
+
+
+def test_every_document_trains_and_calibrates(spark):
+    docs = spark.range(3000).selectExpr("id doc_id", "concat('The licence number ', id, ' was sold at the fair in town ', id * 7, '.') text")
+    assert licenses._background(licenses.paragraphs(docs)).count() == 3000
+    # a kind that no bounded share of documents would show: the threshold follows each held out paragraph
+    fitted = licenses.Classifier.fit(docs, false_rate=0.0)
+    known = 1 - licenses.F.get("probability", licenses.F.lit(0))
+    held = licenses._background(licenses.paragraphs(docs)).where("pmod(h, 2) = 1")
+    top = fitted.scored(held).agg(licenses.F.max(known).alias("top")).first().top
+    assert held.count() > 1000 and abs(fitted.threshold - min(0.9, max(0.5, top))) < 1e-5
